@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from .packing import op10_sum_of_squares_packing
 from .simhash import op2_simhash_trie
+from .substrings import op4_difference_cover_dedup
 
-QUERIES = {f.__name__: f for f in (op2_simhash_trie, op10_sum_of_squares_packing)}
+QUERIES = {f.__name__: f for f in (op2_simhash_trie, op4_difference_cover_dedup, op10_sum_of_squares_packing)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+from .langid import op5_ftrl_language
 from .packing import op10_sum_of_squares_packing
+from .pii import op7_feistel_pseudonyms
 from .simhash import op2_simhash_trie
 from .substrings import op4_difference_cover_dedup
+from .toxicity import op8_counterfactual_toxicity
 
-QUERIES = {f.__name__: f for f in (op2_simhash_trie, op4_difference_cover_dedup, op10_sum_of_squares_packing)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_simhash_trie,
+        op4_difference_cover_dedup,
+        op5_ftrl_language,
+        op7_feistel_pseudonyms,
+        op8_counterfactual_toxicity,
+        op10_sum_of_squares_packing,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {}

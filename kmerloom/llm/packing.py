@@ -17,8 +17,11 @@ not consecutive.
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +35,38 @@ WINDOW = 1024
 END_ID = 0
 MAX_OPEN = 4096
 #: Pieces of text of which a worker remembers the ids.
-MEMO = 500_000
+MEMO = 1_000_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-_NEAR_SPACES = re.compile(r"(?:\s|^) (?:\s|$)")
+_NEAR_SPACES = re.compile(r"\s\s|^\s|\s$")
+
+
+#: The pre-tokeniser pattern of byte-level vocabularies.
+BYTE_LEVEL = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
+
+
+def byte_alphabet() -> dict[str, int]:
+    """The character that stands for each byte in byte-level vocabularies: printable bytes for themselves, the others from U+0100 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    rest = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
+def ranked(tokenizer):
+    """An encoder of the same ids by merge ranks, faster for short texts; None if the vocabulary's ids are not in merge order."""
+    import tiktoken
+
+    spec = json.loads(tokenizer.to_str())
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    if model.get("type") != "BPE" or spec.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or model.get("dropout") or model.get("ignore_merges"):
+        return None
+    vocab = model["vocab"]
+    made = [vocab.get("".join(m) if isinstance(m, list) else m.replace(" ", "")) for m in model["merges"]]
+    if None in made or made != sorted(made):
+        return None
+    of, added = byte_alphabet(), {t["content"] for t in spec.get("added_tokens", ())}
+    ranks = {bytes(of[c] for c in t): k for t, k in vocab.items() if t not in added}
+    return tiktoken.Encoding("ranked", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
 
 
 class PieceEncoder:
@@ -43,20 +74,31 @@ class PieceEncoder:
 
     The byte-level pre-tokeniser always starts a token at a single space
     between two other characters, so such pieces can be encoded apart and
-    remembered. A text with a space amid other white space is encoded whole.
+    remembered. A text with a space amid other white space, or with a special
+    token's string, is encoded whole.
     """
 
     def __init__(self, path: str, memo: int = MEMO):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.memo, self.known = Tokenizer.from_file(path), memo, {}
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.ranked = ranked(self.tokenizer)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _pieces(self, texts: list[str]) -> list[bytes]:
+        if self.ranked is None:
+            return self._ids(texts)
+        encode = self.ranked.encode_ordinary
+        return [array("I", encode(t)).tobytes() for t in texts]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [None if _NEAR_SPACES.search(t) else t.split(" ") for t in texts]
+        whole = [bool(_NEAR_SPACES.search(t)) or any(a in t for a in self.added) for t in texts]
+        split = [None if w else t.split(" ") for t, w in zip(texts, whole, strict=True)]
         if len(self.known) > self.memo:
             self.known.clear()
         new = set()
@@ -66,10 +108,11 @@ class PieceEncoder:
         new = [p for p in new if p not in self.known]
         for k in range(0, len(new), 20_000):
             part = new[k : k + 20_000]
-            self.known.update(zip(part, self._ids([" " + p for p in part]), strict=True))
-        whole = iter(self._ids([t if p is None else p[0] for t, p in zip(texts, split, strict=True)]))
+            self.known.update(zip(part, self._pieces([" " + p for p in part]), strict=True))
+        whole = iter(self._ids([t for t, p in zip(texts, split, strict=True) if p is None]))
+        first = iter(self._pieces([p[0] for p in split if p is not None]))
         known = self.known.__getitem__
-        return [next(whole) + b"".join(map(known, p[1:])) if p else next(whole) for p in split]
+        return [next(whole) if p is None else next(first) + b"".join(map(known, p[1:])) for p in split]
 
 
 class Packer:

@@ -1,7 +1,8 @@
 """Toxicity scores from a counterfactually regularised logistic regression.
 
-Features are the distinct words of a text: lower-cased letters, ASCII
-punctuation taken for spaces. The model is fitted on at most `PER_CLASS`
+Features are the distinct words of a text (lower-cased, ASCII punctuation taken
+for spaces) and the numbers of words with each beginning of 4 to 8 bytes, which
+catch inflected and compound forms. The model is fitted on at most `PER_CLASS`
 labelled documents of either class (those of the least hashes), by
 follow-the-regularised-leader with elastic-net penalties. In each labelled
 text that names groups of people, the identity terms are swapped for others of
@@ -19,6 +20,9 @@ an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,9 +32,10 @@ from . import _linear as L
 from . import _util as U
 
 PER_CLASS = 6000
-#: Words of fewer sampled documents have no weight of their own.
+#: Features of fewer sampled documents have no weight.
 LEAST_DOCS = 3
 PENALTY = 1.0
+STEMS = (4, 5, 6, 7, 8)
 
 #: Identity terms by kind; a term is swapped for others of its kind.
 IDENTITY = (
@@ -48,20 +53,35 @@ IDENTITY = (
 _SPACES = bytes.maketrans(bytes(c for c in range(128) if not chr(c).isalnum()), b" " * sum(not chr(c).isalnum() for c in range(128)))
 
 
-def words(text: str | None) -> set[bytes]:
-    return set((text or "").lower().encode().translate(_SPACES).split())
+def words(text: str | None) -> Counter:
+    """Words of a text and how often each occurs."""
+    return Counter((text or "").lower().encode().translate(_SPACES).split())
+
+
+def parts(w: bytes) -> list[bytes]:
+    """Stems of a word: its beginnings."""
+    return [b"<" + w[:k] for k in STEMS if len(w) > k]
+
 
+def features(found: Counter) -> dict[bytes, float]:
+    """Values of words (present or not) and stems (logarithm of the number of words that begin so)."""
+    stems: Counter = Counter()
+    for w, n in found.items():
+        for p in parts(w):
+            stems[p] += n
+    return dict.fromkeys(found, 1.0) | {p: math.log2(1 + n) for p, n in stems.items()}
 
-def swapped(found: set[bytes], turn: int) -> set[bytes] | None:
+
+def swapped(found: Counter, turn: int) -> Counter | None:
     """The words with every identity term replaced by the one `turn` places on in its kind; None if there is none."""
-    out, any_ = set(found), False
+    out, any_ = Counter(found), False
     for kind in IDENTITY:
         terms = [t.encode() for t in kind]
-        at = [k for k, t in enumerate(terms) if t in found]
-        if at:
-            any_ = True
-            out.difference_update(terms)
-            out.update(terms[(k + turn) % len(terms)] for k in at)
+        counts = [out.pop(t, 0) for t in terms]
+        for k, n in enumerate(counts):
+            if n:
+                any_ = True
+                out[terms[(k + turn) % len(terms)]] += n
     return out if any_ else None
 
 
@@ -71,14 +91,18 @@ def number(w: bytes) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(w)).astype(np.int64))
 
 
-def fit(x: list[np.ndarray], y: np.ndarray, pairs: list[tuple[int, np.ndarray]], penalty: float = PENALTY, alpha=0.1, beta=1.0, l1=0.1, l2=0.01, epochs=12, batch=128, seed=3):
-    """(feature numbers, weights, bias); pairs are (row, features of its counterfactual)."""
-    numbers, n = np.unique(np.concatenate([np.zeros(0, np.int64), *x]), return_counts=True)
+def fit(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, pairs: list[tuple[int, tuple[np.ndarray, np.ndarray]]], penalty: float = PENALTY, alpha=0.5, beta=1.0, l1=16.0, l2=1.0, epochs=30, batch=128, seed=3):
+    """(feature numbers, weights, bias) from (feature numbers, values) of rows; pairs are (row, features of its counterfactual)."""
+    numbers, n = np.unique(np.concatenate([np.zeros(0, np.int64), *(f for f, _ in x)]), return_counts=True)
     kept = numbers[n >= LEAST_DOCS]
     if not len(kept):
         return kept, np.zeros(0), float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
-    place = lambda f: (k := np.minimum(np.searchsorted(kept, f), len(kept) - 1))[kept[k] == f]
-    rows, others = L.Rows([place(f) for f in x]), L.Rows([place(f) for _, f in pairs])
+
+    def rows_of(found):
+        at = [np.minimum(np.searchsorted(kept, f), len(kept) - 1) for f, _ in found]
+        return L.Rows([k[kept[k] == f] for k, (f, _) in zip(at, found, strict=True)], [v[kept[k] == f] for k, (f, v) in zip(at, found, strict=True)])
+
+    rows, others = rows_of(x), rows_of([f for _, f in pairs])
     of = np.array([i for i, _ in pairs], np.int64)
     order_of = {}
     for k, i in enumerate(of.tolist()):
@@ -98,14 +122,14 @@ def fit(x: list[np.ndarray], y: np.ndarray, pairs: list[tuple[int, np.ndarray]],
             w = model.weights(u)
             z = L.products(row, v, w[a], len(chosen))[:, 0]
             error = L.sigmoid(z + model.bias[0]) - y[chosen]
-            bias_g = error.sum() / len(chosen)
+            bias_g = error.sum()
             if len(twin):
                 change = z[own] - L.products(trow, tv, w[b], len(twin))[:, 0]
                 error = error + 2 * penalty * np.bincount(own, change, minlength=len(chosen))
             g = np.bincount(a, v * error[row], minlength=len(u))
             if len(twin):
                 g -= 2 * penalty * np.bincount(b, tv * change[trow], minlength=len(u))
-            model.step(u, w, g[:, None] / len(chosen), np.array([bias_g]))
+            model.step(u, w, g[:, None], np.array([bias_g]))
     w = model.weights()[:, 0]
     some = w != 0
     return kept[some], w[some], float(model.bias[0])
@@ -123,43 +147,60 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, penalt
     chosen = F.broadcast(first(0).unionByName(first(1)))  # two times per_class rows at most
 
     def run(batches):
+        pack = lambda f: sorted((number(k), v) for k, v in features(f).items())
         for b in batches:
-            out = []
+            rows = []
             for doc, toxic, text in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 found = words(text)
-                twins = [t for turn in (1, 2) if (t := swapped(found, turn))]
-                out.append((doc, toxic, sorted(map(number, found)), [sorted(map(number, t)) for t in twins]))
-            columns = list(zip(*out, strict=True)) or [[]] * 4
-            ints = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], ints), pa.array(columns[3], pa.list_(ints))], ["doc_id", "toxic", "words", "twins"])
-
-    got = docs.join(chosen, "doc_id").select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, words array<long>, twins array<array<long>>").toArrow().sort_by("doc_id")
-    w = got.column("words").combine_chunks()
-    edge = w.offsets.to_numpy()
-    x = [w.values.to_numpy()[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)]
-    y = got.column("toxic").to_numpy().astype(float)
-    pairs = [(i, np.array(t, np.int64)) for i, twins in enumerate(got.column("twins").to_pylist()) for t in twins]
-    features, weights, bias = fit(x, y, pairs, penalty)
-    return features, weights, bias + float(np.log(min(1.0, per_class / n0) / min(1.0, per_class / n1)))
+                rows += [(doc, toxic, turn, pack(t)) for turn, t in enumerate([found, swapped(found, 1), swapped(found, 2)]) if t is not None]
+            doc, toxic, turn, packed = zip(*rows, strict=True) if rows else [()] * 4
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(doc, pa.int64()), pa.array(toxic, pa.int32()), pa.array(turn, pa.int32()), pa.array([[k for k, _ in f] for f in packed], pa.list_(pa.int64())), pa.array([[v for _, v in f] for f in packed], pa.list_(pa.float32()))],
+                ["doc_id", "toxic", "turn", "features", "values"],
+            )
+
+    got = docs.join(chosen, "doc_id").select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, turn int, features array<long>, values array<float>").toArrow().sort_by([("doc_id", "ascending"), ("turn", "ascending")])
+    numbers, values = (got.column(k).combine_chunks() for k in ("features", "values"))
+    edge, numbers, values = numbers.offsets.to_numpy(), numbers.values.to_numpy(), values.values.to_numpy().astype(float)
+    found = [(numbers[a:b], values[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+    turn, toxic, x, y, pairs = got.column("turn").to_pylist(), got.column("toxic").to_pylist(), [], [], []
+    for k, f in enumerate(found):
+        if turn[k]:  # behind the row that it is a counterfactual of, also where rows are repeated
+            pairs.append((len(x) - 1, f))
+        else:
+            x.append(f)
+            y.append(float(toxic[k]))
+    y = np.array(y)
+    kept, weights, bias = fit(x, y, pairs, penalty)
+    return kept, weights, bias + float(np.log(min(1.0, per_class / n0) / min(1.0, per_class / n1)))
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
     """All columns of docs, with toxicity (double, 0 to 1) behind them."""
-    features, weights, bias = model
-    weight_of = dict(zip(features.tolist(), weights.tolist(), strict=True))
+    numbers, weights, bias = model
+    weight_of = dict(zip(numbers.tolist(), weights.tolist(), strict=True))
     at = docs.columns.index("text")
 
     def run(batches):
-        memo: dict[bytes, float] = {}
+        memo: dict[bytes, tuple] = {}  # of each word, its weight and its stems of any weight
         for b in batches:
             out = []
             for text in b.column(at):
                 found = words(text.as_py())
                 if len(memo) > 400_000:
                     memo.clear()
-                for w in found.difference(memo):
-                    memo[w] = weight_of.get(number(w), 0.0)
-                out.append(bias + sum(sorted(x for x in map(memo.__getitem__, found) if x)))
+                for w in found.keys() - memo.keys():
+                    stems = tuple((p, x) for p in parts(w) if (x := weight_of.get(number(p))))
+                    own = weight_of.get(number(w), 0.0)
+                    memo[w] = (own, stems) if own or stems else None
+                z, stems = [bias], {}
+                for w, n in found.items():
+                    if m := memo[w]:
+                        z.append(m[0])
+                        for p, x in m[1]:
+                            stems[p] = (stems[p][0] + n, x) if p in stems else (n, x)
+                z += [x * math.log2(1 + n) for n, x in stems.values()]
+                out.append(math.fsum(z))
             p = L.sigmoid(np.array(out, np.float64))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], [*(f.name for f in b.schema), "toxicity"])
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from . import _linear as L
 from . import _util as U
 
-PER_CLASS = 6000
+PER_CLASS = 2500
 #: Features of fewer sampled documents have no weight.
 LEAST_DOCS = 3
 PENALTY = 1.0
@@ -189,7 +189,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataF
                 found = words(text.as_py())
                 if len(memo) > 400_000:
                     memo.clear()
-                for w in found.keys() - memo.keys():
+                for w in [w for w in found if w not in memo]:
                     stems = tuple((p, x) for p in parts(w) if (x := weight_of.get(number(p))))
                     own = weight_of.get(number(w), 0.0)
                     memo[w] = (own, stems) if own or stems else None

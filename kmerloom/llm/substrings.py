@@ -191,3 +191,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, render: str = "text")
 
 def op4_difference_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(U.table(spark, sf_dir, "documents"), render="sha256").withColumnRenamed("kept", "kept_sha256")
+
+
+ORACLE_SQL = {
+    "op4_difference_cover_dedup": f"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS words FROM documents),
+windows AS (SELECT r, i, md5(array_to_string(words[i : i + {WINDOW - 1}], ' ')) AS h FROM (SELECT r, words, unnest(range(1, len(words) - {WINDOW - 2})) AS i FROM w WHERE len(words) >= {WINDOW})),
+again AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + {WINDOW})) AS pos FROM windows WHERE h IN (SELECT h FROM again)),
+places AS (SELECT r, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos FROM w),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY pos) AS kept, count(*) AS n FROM places ANTI JOIN gone USING (r, pos) GROUP BY r)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (r)"""
+}

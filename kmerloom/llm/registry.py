@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import decontamination, licenses, substrings, topk
+from .classlm import op3_class_exchange_lm
 from .decontamination import op1_spaced_seed_decontamination
 from .langid import op5_ftrl_language
 from .licenses import op6_dice_licenses
@@ -18,6 +19,7 @@ QUERIES = {
     for f in (
         op1_spaced_seed_decontamination,
         op2_simhash_trie,
+        op3_class_exchange_lm,
         op4_difference_cover_dedup,
         op5_ftrl_language,
         op6_dice_licenses,

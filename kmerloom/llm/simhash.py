@@ -19,6 +19,7 @@ an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 from itertools import repeat
 
 import numpy as np
@@ -32,6 +33,7 @@ from ._graph import components
 SHINGLE = 4
 BITS = 4
 MOST = 50_000
+ROW = F.xxhash64("doc_id", "text")
 #: Node pairs held at once, and the product of node sizes below which leaves are compared.
 FRONTIER, LEAF = 1 << 17, 64
 
@@ -64,15 +66,15 @@ def majority(h: np.ndarray) -> np.int64:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) of every row."""
+    """(doc_id, row, fp) of every row, row being a hash of doc_id and text."""
 
     def run(batches):
         for b in batches:
-            texts = b.column(1).cast(pa.binary())
+            texts = b.column(2).cast(pa.binary())
             fps = [fingerprint(t.as_py() or b"", shingle) for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64())], ["doc_id", "row", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", ROW.alias("row"), "text").mapInArrow(run, "doc_id long, row long, fp long")
 
 
 def blocks(bits: int) -> list[tuple[int, int]]:
@@ -215,17 +217,30 @@ def links(fps: DataFrame, bits: int = BITS, most: int = MOST) -> DataFrame:
     return placed.groupBy("j", "task", "a", "b").applyInArrow(run, "u long, v long")
 
 
+def _classes(docs: DataFrame, shingle: int, bits: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, row, fp) of every row; (fp, root) of every distinct fingerprint."""
+    marks = U.spill(fingerprints(docs, shingle), "fingerprints")
+    distinct = U.spill(marks.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    root = components(links(distinct.select("fp"), bits, most))
+    return marks, distinct.join(root.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, most: int = MOST) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row."""
-    marks = U.spill(fingerprints(docs, shingle), "fingerprints")
-    least = U.spill(marks.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    root = components(links(least.select("fp"), bits, most))
-    named = least.join(root.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    marks, named = _classes(docs, shingle, bits, most)
     of_root = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    # only components of several fingerprints need the second join
     of_fp = named.join(of_root, "root").select("fp", "component_id")
     return marks.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def representatives(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, most: int = MOST) -> DataFrame:
+    """One row of each component, with all its columns: that of the least doc_id (ties: the least hash of the row; rows without doc_id last)."""
+    marks, named = _classes(docs, shingle, bits, most)
+    chosen = marks.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("m")).join(named.select("fp", "root"), "fp").groupBy("root").agg(F.min("m").alias("m"))
+    own = f"row_{uuid.uuid4().hex}"  # no column of docs has this name
+    kept = docs.withColumn(own, ROW).join(chosen.select(F.col("m.row").alias(own)), own, "left_semi")
+    return kept.dropDuplicates([own]).drop(own)
+
+
 def op2_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(U.table(spark, sf_dir, "documents"))

@@ -175,8 +175,8 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, penalt
     return kept, weights, bias + float(np.log(min(1.0, per_class / n0) / min(1.0, per_class / n1)))
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
-    """All columns of docs, with toxicity (double, 0 to 1) behind them."""
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], name: str = "toxicity") -> DataFrame:
+    """All columns of docs, with the score (double, 0 to 1) behind them under a name."""
     numbers, weights, bias = model
     weight_of = dict(zip(numbers.tolist(), weights.tolist(), strict=True))
     at = docs.columns.index("text")
@@ -202,11 +202,11 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataF
                 z += [x * math.log2(1 + n) for n, x in stems.values()]
                 out.append(math.fsum(z))
             p = L.sigmoid(np.array(out, np.float64))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], [*(f.name for f in b.schema), "toxicity"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], [*(f.name for f in b.schema), name])
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("toxicity", DoubleType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def op8_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

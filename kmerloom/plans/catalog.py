@@ -1,4 +1,355 @@
-"""Registered k-mer queries."""
+"""Registered k-mer queries over the driver's tables.
+
+Documents are the reads, their language is the sample, and a read's sequence
+is what the text has of A, C, G, T (upper case).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import bits, dna, hashing
+from ..operators import combining, counting, filtering, merging, partitioning, reshaping
+from . import oracle
+
+SAMPLES = ["de", "en", "es", "fr"]
+K, M, PARTS, HARD = 21, 8, 4, 2
+WINDOW = hashing.HashWindow(40_000, PARTS)
+SOFT = [3, 4, 2, 5]
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select(F.col("lang").alias("sample"), dna.clean(F.col("text")).alias("seq"), F.col("doc_id").alias("read_id"))
+
+
+def counts(spark, sf_dir, least: int = HARD) -> DataFrame:
+    return counting.hard_min(counting.count_kmers(reads(spark, sf_dir), K), least)
+
+
+def matrix(spark, sf_dir, least: int = 1, samples=SAMPLES) -> DataFrame:
+    return merging.count_matrix(reads(spark, sf_dir), samples, K, least)
+
+
+def slots(spark, sf_dir, least: int = HARD, samples=SAMPLES) -> DataFrame:
+    found = counting.count_kmers(reads(spark, sf_dir).where(F.col("sample").isin(samples)), K)
+    return counting.hard_min(counting.to_slots(found, WINDOW, K, M), least)
+
+
+def slot_matrix(spark, sf_dir, least: int = HARD, samples=SAMPLES) -> DataFrame:
+    return merging.merge_counts(slots(spark, sf_dir, least, samples), samples, "slot")
+
+
+def wide(m: DataFrame, samples=SAMPLES, key: str = "kmer") -> DataFrame:
+    return merging.columns(m, samples, key, "c_")
+
 
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+@query
+def count_matrix(s, d):
+    return wide(matrix(s, d, HARD))
+
+
+@query
+def kmer_explode(s, d):
+    return counting.explode_kmers(reads(s, d), K, "read_id").select("read_id", F.col("position").cast("bigint").alias("position"), dna.letters(F.col("kmer")).alias("kmer"))
+
+
+@query
+def kmer_with_n(s, d):
+    """K-mers of texts whose full stops and line ends stay as gaps: none crosses one."""
+    gaps = documents(s, d).select(F.col("lang").alias("sample"), F.regexp_replace(F.upper("text"), "[^ACGT.\n]", "").alias("seq"))
+    return counting.count_kmers(gaps, K).select("sample", dna.letters(F.col("kmer")).alias("kmer"), "cnt")
+
+
+@query
+def kmer_count(s, d):
+    return counting.count_kmers(reads(s, d), K).select("sample", dna.letters(F.col("kmer")).alias("kmer"), "cnt")
+
+
+@query
+def count_hard_min(s, d):
+    """Samples' own minimum where the sheet has one."""
+    sheet = s.createDataFrame([("de", 3), ("en", 5), ("es", 0), ("fr", 0)], "sample string, min_abund int")
+    least = F.broadcast(counting.sample_min(sheet, HARD))  # a row for each sample
+    return counting.hard_min(counting.count_kmers(reads(s, d), K).join(least, "sample"), F.col("least")).select("sample", dna.letters(F.col("kmer")).alias("kmer"), "cnt")
+
+
+@query
+def count_saturated(s, d):
+    return counting.saturate(counts(s, d, 1), 255).select("sample", dna.letters(F.col("kmer")).alias("kmer"), "cnt")
+
+
+@query
+def kmer_hist(s, d):
+    return counting.histogram(counts(s, d, 1))
+
+
+@query
+def kmer_hist_oob(s, d):
+    return counting.histogram_totals(counts(s, d, 1))
+
+
+@query
+def kmer_code(s, d):
+    return counting.count_kmers(reads(s, d), K).select("kmer").distinct().select(dna.letters(F.col("kmer")).alias("kmer"), dna.code(F.col("kmer")).alias("code"), dna.decode(dna.code(F.col("kmer")), K).alias("decoded"))
+
+
+@query
+def revcomp(s, d):
+    return reads(s, d).select("read_id", dna.reverse_complement(F.col("seq")).alias("revcomp"))
+
+
+@query
+def canonical(s, d):
+    return reads(s, d).select("read_id", dna.canonical(F.col("seq")).alias("canonical"))
+
+
+def distinct_kmers(s, d) -> DataFrame:
+    return counting.count_kmers(reads(s, d), K).select("kmer").distinct()
+
+
+@query
+def mmers(s, d):
+    all_ = F.array(*dna.mmers(F.col("kmer"), K, M))
+    return distinct_kmers(s, d).select(F.explode(all_).alias("mmer")).groupBy("mmer").agg(F.count("*").alias("n")).select(dna.letters(F.col("mmer")).alias("mmer"), "n")
+
+
+@query
+def minimizer(s, d):
+    return partitioning.with_minimizer(distinct_kmers(s, d), K, M).select(dna.letters(F.col("kmer")).alias("kmer"), "minimizer")
+
+
+@query
+def superkmers(s, d):
+    return partitioning.super_kmers(reads(s, d), K, M).select("read_id", F.col("start").cast("bigint").alias("start"), "n_kmers", "minimizer")
+
+
+@query
+def static_repart(s, d):
+    return partitioning.static_repartition(s, M, PARTS).select("minimizer", F.col("part").cast("bigint").alias("part"))
+
+
+@query
+def partition_sizes(s, d):
+    return partitioning.partition_sizes(partitioning.with_partition(counts(s, d), K, M, PARTS)).select(F.col("part").cast("bigint").alias("part"), "n_kmers")
+
+
+@query
+def restrict_list(s, d):
+    placed = partitioning.with_partition(counts(s, d), K, M, PARTS)
+    return partitioning.restrict(placed, [1, 3], PARTS).select("sample", dna.letters(F.col("kmer")).alias("kmer"), "cnt")
+
+
+@query
+def merge_soft_int(s, d):
+    return wide(merging.solidify(matrix(s, d), 3, len(SAMPLES)))
+
+
+@query
+def merge_soft_vec(s, d):
+    return wide(merging.solidify(matrix(s, d), SOFT, len(SAMPLES)))
+
+
+@query
+def merge_soft_float(s, d):
+    """Thresholds above which the tenth part of each sample's distinct k-mers is left out."""
+    found = counting.count_kmers(reads(s, d), K)
+    every = found.groupBy("sample", F.col("cnt").alias("abundance")).agg(F.count("*").alias("n_unique"))
+    soft = merging.float_thresholds(every, 0.9, SAMPLES)
+    return wide(merging.solidify(merging.merge_counts(found, SAMPLES), soft, len(SAMPLES)))
+
+
+@query
+def merge_recurrence(s, d):
+    return wide(merging.solidify(matrix(s, d), 2, len(SAMPLES), recurrence_min=2))
+
+
+@query
+def merge_rescue(s, d):
+    return wide(merging.solidify(matrix(s, d), 3, len(SAMPLES), share_min=1))
+
+
+@query
+def merge_stats(s, d):
+    return merging.merge_statistics(matrix(s, d), 3, SAMPLES, share_min=1)
+
+
+@query
+def pa_matrix(s, d):
+    return wide(reshaping.presence(matrix(s, d, HARD)))
+
+
+@query
+def matrix_text(s, d):
+    return reshaping.text_lines(matrix(s, d, HARD))
+
+
+@query
+def pa_text(s, d):
+    return reshaping.text_lines(reshaping.presence(matrix(s, d, HARD)))
+
+
+@query
+def plugin_threshold(s, d):
+    """Over two samples, as no k-mer is in all four."""
+    return wide(merging.apply_plugin(matrix(s, d, 1, ["en", "fr"]), merging.all_at_least(1)), ["en", "fr"])
+
+
+@query
+def plugin_prefix(s, d):
+    return wide(merging.apply_plugin(matrix(s, d, HARD), merging.prefix_all_at_least(2)))
+
+
+@query
+def aggregate_counts(s, d):
+    found = counts(s, d)
+    return combining.aggregate([found.where(F.col("sample") == x) for x in SAMPLES]).select("sample", dna.letters(F.col("kmer")).alias("kmer"), "cnt")
+
+
+@query
+def aggregate_keys(s, d):
+    return combining.aggregate([matrix(s, d, HARD)], count=False).select(dna.letters(F.col("kmer")).alias("kmer"))
+
+
+@query
+def aggregate_sorted(s, d):
+    """Rows in the order of bases, with the number of each (which the order decides)."""
+    listed = combining.aggregate([matrix(s, d, HARD)], ordered=True)
+    return wide(listed)
+
+
+KEY = "fr"
+OTHERS = [x for x in SAMPLES if x != KEY]
+
+
+def key_counts(s, d) -> DataFrame:
+    return counting.hard_min(counting.count_kmers(reads(s, d).where(F.col("sample") == KEY), K), HARD).select("kmer", "cnt")
+
+
+@query
+def filter_m(s, d):
+    return wide(filtering.rows_in_key(matrix(s, d, HARD, OTHERS), key_counts(s, d)), [*OTHERS, KEY])
+
+
+@query
+def filter_m_pa(s, d):
+    return wide(filtering.rows_in_key(reshaping.presence(matrix(s, d, HARD, OTHERS)), key_counts(s, d), with_count=False), OTHERS)
+
+
+@query
+def filter_v(s, d):
+    return filtering.key_vector(matrix(s, d, HARD, OTHERS), key_counts(s, d)).select(dna.letters(F.col("kmer")).alias("kmer"), "value")
+
+
+@query
+def filter_k(s, d):
+    return filtering.absent_from_matrix(matrix(s, d, HARD, OTHERS), key_counts(s, d)).select(dna.letters(F.col("kmer")).alias("kmer"), "cnt")
+
+
+def run_of(s, d, samples, shape=lambda m: m, least: int = HARD) -> combining.Run:
+    return combining.Run(shape(matrix(s, d, least, samples)), samples, K, M, PARTS)
+
+
+@query
+def combine_count(s, d):
+    return wide(combining.combine([run_of(s, d, ["de", "en"]), run_of(s, d, ["es", "fr"])]).matrix)
+
+
+@query
+def combine_pa(s, d):
+    return wide(combining.combine([run_of(s, d, x, reshaping.presence) for x in (["de", "en"], ["es", "fr"])]).matrix)
+
+
+@query
+def combine_counts_run(s, d):
+    only = counting.hard_min(counting.count_kmers(reads(s, d).where(F.col("sample") == "fr"), K), HARD)
+    return wide(combining.combine([run_of(s, d, ["de", "en", "es"]), combining.counts_run(only, "fr", K, M, PARTS)]).matrix)
+
+
+@query
+def combine_hash(s, d):
+    runs = [combining.Run(slot_matrix(s, d, HARD, x), x, K, M, PARTS, "slot") for x in (["de", "en"], ["es", "fr"])]
+    return wide(combining.combine(runs).matrix, key="slot")
+
+
+@query
+def hash_window(s, d):
+    rows = [(p, WINDOW.window, WINDOW.lower(p), WINDOW.upper(p)) for p in range(PARTS)]
+    return s.createDataFrame(rows, "part bigint, size bigint, lower bigint, upper bigint")
+
+
+@query
+def hash_count(s, d):
+    return slots(s, d)
+
+
+@query
+def hash_vector(s, d):
+    return slots(s, d).select("sample", "slot")
+
+
+@query
+def hash_count_matrix(s, d):
+    return wide(merging.solidify(slot_matrix(s, d), 3, len(SAMPLES), share_min=2), key="slot")
+
+
+@query
+def hash_pa_matrix(s, d):
+    return wide(reshaping.presence(slot_matrix(s, d)), key="slot")
+
+
+@query
+def bloom_matrix(s, d):
+    return wide(reshaping.bloom_matrix(slot_matrix(s, d), WINDOW, len(SAMPLES)), key="slot")
+
+
+@query
+def cbf_matrix(s, d):
+    return wide(reshaping.counting_bloom_matrix(slot_matrix(s, d), WINDOW, len(SAMPLES), 2), key="slot")
+
+
+@query
+def cbf_bucket(s, d):
+    found = counting.count_kmers(reads(s, d), K).select("cnt").distinct()
+    return found.select("cnt", *(bits.log2_bucket(F.col("cnt"), w).alias(f"b{w}") for w in (1, 2, 3, 8)))
+
+
+@query
+def bf_per_sample(s, d):
+    filters = reshaping.per_sample_filters(slot_matrix(s, d), SAMPLES, WINDOW)
+    return filters.select("sample", F.col("part").cast("bigint").alias("part"), F.posexplode("words").alias("w", "word")).select("sample", "part", F.col("w").cast("bigint").alias("w"), "word")
+
+
+@query
+def bloom_fpr(s, d):
+    return reshaping.false_positive_rates(slot_matrix(s, d), WINDOW, SAMPLES).withColumn("part", F.col("part").cast("bigint"))
+
+
+@query
+def bloom_estimate(s, d):
+    return reshaping.cardinalities(slot_matrix(s, d), WINDOW, SAMPLES)
+
+
+@query
+def bam_like_filter(s, d):
+    """Flag and reference filters of alignments, over lines of orders: the flag is made of line number and quantity."""
+    from ..sources.alignments import keep_alignments
+
+    lines = s.read.parquet(f"{d}/lineitem.parquet")
+    flagged = lines.select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("ref"), (F.col("l_linenumber") * 4 + F.col("l_quantity").cast("int") % 4).cast("int").alias("flag"))
+    return keep_alignments(flagged, require=1, exclude=8, without_refs=["R"])
+
+
+ORACLE_SQL = oracle.build(SAMPLES, K, M, PARTS, HARD, WINDOW.window, SOFT, KEY)

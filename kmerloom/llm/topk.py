@@ -216,7 +216,7 @@ def top_products(embeddings: DataFrame, queries, k: int = K, block: int = BLOCK,
     start = candidates.where(F.col("block") == first[0])
     # the first block goes to every query block
     a = start.join(asked.select(F.col("qblock").alias("a_q")), how="cross").select(F.col("block").alias("a_block"), "a_q", "ids", "x")
-    b = asked.select(F.lit(first[0]).alias("block"), "qblock", "ids", "x", F.lit(None).cast("binary").alias("least"))
+    b = asked.select(F.lit(first[0]).cast("long").alias("block"), "qblock", "ids", "x", F.lit(None).cast("binary").alias("least"))
     found = U.spill(a.groupBy("a_block", "a_q").cogroup(b.groupBy("block", "qblock")).applyInArrow(pair, FOUND), "found")
     kth = found.groupBy("qblock", "q").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") >= k)
 

@@ -35,7 +35,7 @@ def spill(df: DataFrame, tag: str) -> DataFrame:
     """Write to the shared folder and read again: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/kmerloom-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

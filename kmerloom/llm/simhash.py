@@ -33,7 +33,6 @@ from ._graph import components
 SHINGLE = 4
 BITS = 4
 MOST = 50_000
-ROW = F.xxhash64("doc_id", "text")
 #: Node pairs held at once, and the product of node sizes below which leaves are compared.
 FRONTIER, LEAF = 1 << 17, 64
 
@@ -74,7 +73,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             fps = [fingerprint(t.as_py() or b"", shingle) for t in texts]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64())], ["doc_id", "row", "fp"])
 
-    return docs.select("doc_id", ROW.alias("row"), "text").mapInArrow(run, "doc_id long, row long, fp long")
+    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text").mapInArrow(run, "doc_id long, row long, fp long")
 
 
 def blocks(bits: int) -> list[tuple[int, int]]:
@@ -238,7 +237,7 @@ def representatives(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, m
     marks, named = _classes(docs, shingle, bits, most)
     chosen = marks.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("m")).join(named.select("fp", "root"), "fp").groupBy("root").agg(F.min("m").alias("m"))
     own = f"row_{uuid.uuid4().hex}"  # no column of docs has this name
-    kept = docs.withColumn(own, ROW).join(chosen.select(F.col("m.row").alias(own)), own, "left_semi")
+    kept = docs.withColumn(own, F.xxhash64("doc_id", "text")).join(chosen.select(F.col("m.row").alias(own)), own, "left_semi")
     return kept.dropDuplicates([own]).drop(own)
 
 

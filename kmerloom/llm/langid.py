@@ -56,8 +56,8 @@ class Grams:
         keep[1:] = (c[1:] != 32) | (c[:-1] != 32)
         return c[keep]
 
-    def slots(self, c: np.ndarray) -> np.ndarray:
-        """Slots of all n-grams of one sequence of codes, order after order."""
+    def slots(self, c: np.ndarray, starts: int | None = None) -> np.ndarray:
+        """Slots of the n-grams of one sequence of codes that begin at its first places (all, if no number is given), order after order."""
         out, h = [], np.zeros(len(c), np.int64)
         for n in range(1, max(ORDERS) + 1):
             if len(c) < n:
@@ -65,10 +65,16 @@ class Grams:
             h = (h[: len(c) - n + 1] * 0x9E3779B1 + c[n - 1 :] + n) & 0xFFFFFFFFFFFF
             if n in ORDERS:
                 x = h * 0x2545F491
-                out.append(((x >> 20) ^ (x >> 37)) & (FEATURES - 1))
+                out.append((((x >> 20) ^ (x >> 37)) & (FEATURES - 1))[:starts])
         return np.concatenate(out)
 
 
+def blocks(grams: Grams, c: np.ndarray, block: int = BLOCK):
+    """Slots of a sequence of codes, so many places at a time; each n-gram comes once."""
+    for k in range(0, len(c), block):
+        yield grams.slots(c[k : k + block + max(ORDERS) - 1], block)
+
+
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     """In how many texts each slot occurs, and the number of texts with letters."""
 
@@ -152,9 +158,7 @@ def identify(docs: DataFrame, learn: DataFrame, per_language: int = PER_LANGUAGE
                     score.append(0.0)
                     continue
                 z, total = np.zeros(len(langs)), 0
-                for k in range(0, len(c), BLOCK):  # blocks overlap, so that no n-gram is lost or met twice
-                    part = c[k : k + BLOCK + max(ORDERS) - 1]
-                    s = grams.slots(part) if k + BLOCK >= len(c) else np.concatenate([grams.slots(part[: BLOCK + o - 1])[-BLOCK:] for o in ORDERS])
+                for s in blocks(grams, c):
                     z += per_gram[s].sum(axis=0, dtype=np.float64)
                     total += len(s)
                 p = L.softmax((z / total + bias)[None])[0]

@@ -47,10 +47,10 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def chunk_count(docs: DataFrame, chars: int = CHUNK_CHARS) -> int:
-    """As many chunks as keep each near `chars` characters; grows with the corpus."""
+def chunk_count(docs: DataFrame, chars: int = CHUNK_CHARS, least: int = 1_000_000) -> int:
+    """As many chunks as keep each near `chars` characters; grows with the corpus. A small corpus is still dealt to all partitions, `least` characters each."""
     total = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    return max(1, -(-total // chars))
+    return max(1, -(-total // chars), min(partitions(docs.sparkSession), total // least))
 
 
 def chunk_of(n: int) -> Column:

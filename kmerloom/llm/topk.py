@@ -90,8 +90,8 @@ def blocks(vectors: DataFrame, size: int, d: int, name: str, ordered: bool) -> D
     """Rows of `size` vectors: (name, longest, ids, x), x holding the doubles of all vectors end to end."""
     n = vectors.count()
     count = max(1, -(-n // size))
-    # equal lengths are spread by a hash, so that no length fills a block beyond its size
-    order = [F.desc("length") if ordered else F.xxhash64("vec_id"), F.xxhash64("vec_id", F.lit(1)), F.col("vec_id")]
+    # equal lengths are split by vec_id, so that none fills a block beyond its size and the first of equals come first
+    order = [F.desc("length") if ordered else F.xxhash64("vec_id"), F.col("vec_id")]
     dealt = vectors.repartitionByRange(count, *order).sortWithinPartitions(F.desc("length"), "vec_id") if count > 1 else vectors.coalesce(1).sortWithinPartitions(F.desc("length"), "vec_id")
 
     def run(batches):
@@ -132,10 +132,10 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Best:
-    """The best k (score, vec_id) of each query; ties to the smaller vec_id."""
+    """The best k (score, vec_id) of each query; ties to the smaller vec_id. least and last are the score and vec_id to beat."""
 
-    def __init__(self, least: np.ndarray, k: int):
-        self.k, self.least = k, least.copy()
+    def __init__(self, least: np.ndarray, last: np.ndarray, k: int):
+        self.k, self.least, self.last = k, least.copy(), last.copy()
         self.score = [np.zeros(0, np.int64)] * len(least)
         self.vec = [np.zeros(0, np.int64)] * len(least)
 
@@ -148,13 +148,18 @@ class Best:
             s, v = np.concatenate([self.score[i], score[a:b]]), np.concatenate([self.vec[i], vec[a:b]])
             keep = np.lexsort((v, ~s))[: self.k]  # ~s falls as s rises, without overflow
             self.score[i], self.vec[i] = s[keep], v[keep]
-            if len(keep) == self.k:
-                self.least[i] = max(self.least[i], float(self.score[i][-1]))
+            if len(keep) == self.k and float(self.score[i][-1]) >= self.least[i]:
+                self.least[i], self.last[i] = float(self.score[i][-1]), self.vec[i][-1]
 
 
-def search(q_ids, q, least, v_ids, v, r: np.ndarray, k: int, run: int = RUN, head: int = HEAD) -> Best:
-    """Queries against vectors that are sorted by descending length."""
-    best = Best(least, k)
+def beats(score: np.ndarray, vec: np.ndarray, least: np.ndarray, last: np.ndarray) -> np.ndarray:
+    score = score.astype(np.float64)  # a rounded score is not below what it must beat, if the exact one is not
+    return (score > least) | ((score == least) & (vec < last))
+
+
+def search(q_ids, q, least, last, v_ids, v, r: np.ndarray, k: int, run: int = RUN, head: int = HEAD) -> Best:
+    """Queries against vectors that are sorted by descending length; only what beats (least, last) is returned."""
+    best = Best(least, last, k)
     with np.errstate(over="ignore", invalid="ignore"):
         qr, vr = q @ r, v @ r
         q_len, v_len = np.sqrt((q * q).sum(axis=1)), np.sqrt((v * v).sum(axis=1))
@@ -174,7 +179,7 @@ def search(q_ids, q, least, v_ids, v, r: np.ndarray, k: int, run: int = RUN, hea
         can &= q_ids[active][:, None] != v_ids[part][None, :]
         if exact and can.mean() > 0.1:
             s = q[active] @ v[part].T  # integers below 2^53: exact
-            can &= s >= best.least[active][:, None]
+            can &= beats(s, v_ids[part][None, :], best.least[active][:, None], best.last[active][:, None])
             if can.sum(axis=1).max(initial=0) > 4 * k:  # the k best of each row and what ties with them
                 low = np.where(can, s, -np.inf)
                 kth = -np.partition(-low, k - 1, axis=1)[:, k - 1] if low.shape[1] >= k else np.full(len(low), -np.inf)
@@ -183,7 +188,9 @@ def search(q_ids, q, least, v_ids, v, r: np.ndarray, k: int, run: int = RUN, hea
             best.add(active[i], v_ids[part][j], s[i, j].astype(np.int64))
         else:
             i, j = np.nonzero(can)
-            best.add(active[i], v_ids[part][j], products(q[active[i]], v[part][j]))
+            s = products(q[active[i]], v[part][j])
+            new = beats(s, v_ids[part][j], best.least[active[i]], best.last[active[i]]) if exact else np.ones(len(s), bool)
+            best.add(active[i][new], v_ids[part][j][new], s[new])
     return best
 
 
@@ -203,9 +210,10 @@ def top_products(embeddings: DataFrame, queries, k: int = K, block: int = BLOCK,
         for n in range(len(right)):
             q = np.frombuffer(right.column("x")[n].as_py(), np.float64).reshape(-1, d)
             q_ids = np.frombuffer(right.column("ids")[n].as_py(), np.int64)
-            least = right.column("least")[n].as_py()
+            least, last = right.column("least")[n].as_py(), right.column("last")[n].as_py()
             least = np.frombuffer(least, np.float64) if least is not None else np.full(len(q), -np.inf)
-            best = search(q_ids, q, least, v_ids, v, r, k)
+            last = np.frombuffer(last, np.int64) if last is not None else np.full(len(q), np.iinfo(np.int64).max)
+            best = search(q_ids, q, least, last, v_ids, v, r, k)
             size = [len(s) for s in best.score]
             which = np.repeat(np.arange(len(q), dtype=np.int32), size)
             rows.append(pa.table({"qblock": pa.array(np.full(len(which), right.column("qblock")[n].as_py()), pa.int64()), "q": which, "query_id": q_ids[which], "vec_id": np.concatenate([np.zeros(0, np.int64), *best.vec]), "score": np.concatenate([np.zeros(0, np.int64), *best.score])}))
@@ -216,21 +224,23 @@ def top_products(embeddings: DataFrame, queries, k: int = K, block: int = BLOCK,
     start = candidates.where(F.col("block") == first[0])
     # the first block goes to every query block
     a = start.join(asked.select(F.col("qblock").alias("a_q")), how="cross").select(F.col("block").alias("a_block"), "a_q", "ids", "x")
-    b = asked.select(F.lit(first[0]).cast("long").alias("block"), "qblock", "ids", "x", F.lit(None).cast("binary").alias("least"))
+    b = asked.select(F.lit(first[0]).cast("long").alias("block"), "qblock", "ids", "x", F.lit(None).cast("binary").alias("least"), F.lit(None).cast("binary").alias("last"))
     found = U.spill(a.groupBy("a_block", "a_q").cogroup(b.groupBy("block", "qblock")).applyInArrow(pair, FOUND), "found")
-    kth = found.groupBy("qblock", "q").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") >= k)
+    kth = found.groupBy("qblock", "q").agg(F.count("*").alias("n"), F.min(F.struct("score", (-F.col("vec_id")).alias("back"))).alias("m")).where(F.col("n") >= k).select("qblock", "q", F.col("m.score").alias("least"), (-F.col("m.back")).alias("last"))
 
     def thresholds(key, left, right):
         n = len(left.column("ids")[0].as_py()) // 8
         least = np.full(n, -np.inf)
+        last = np.full(n, np.iinfo(np.int64).max)
         least[right.column("q").to_numpy()] = right.column("least").to_numpy()
+        last[right.column("q").to_numpy()] = right.column("last").to_numpy()
         q = np.frombuffer(left.column("x")[0].as_py(), np.float64).reshape(-1, d)
         # the shortest vector that could matter to some query
         length = np.sqrt((q * q).sum(axis=1))
         need = float(np.where(np.isneginf(least) | (least <= 0), 0.0, (least - 1) / np.maximum(length * (1 + SLACK), 1e-300)).min())
-        return pa.table({"qblock": left.column("qblock"), "ids": left.column("ids"), "x": left.column("x"), "least": pa.array([least.tobytes()], pa.binary()), "need": pa.array([need])})
+        return pa.table({"qblock": left.column("qblock"), "ids": left.column("ids"), "x": left.column("x"), "least": pa.array([least.tobytes()], pa.binary()), "last": pa.array([last.tobytes()], pa.binary()), "need": pa.array([need])})
 
-    ready = U.spill(asked.select("qblock", "ids", "x").groupBy("qblock").cogroup(kth.withColumnRenamed("qblock", "of").groupBy("of")).applyInArrow(thresholds, "qblock long, ids binary, x binary, least binary, need double"), "ready")
+    ready = U.spill(asked.select("qblock", "ids", "x").groupBy("qblock").cogroup(kth.withColumnRenamed("qblock", "of").groupBy("of")).applyInArrow(thresholds, "qblock long, ids binary, x binary, least binary, last binary, need double"), "ready")
     # lengths alone decide which pairs of blocks meet; a row stands for thousands of vectors
     meet = candidates.where(F.col("block") != first[0]).select("block", "longest").join(ready.select("qblock", "need"), F.col("longest") >= F.col("need") * (1 - SLACK)).select("block", "qblock")
     left = meet.join(candidates.select("block", "ids", "x"), "block").select(F.col("block").alias("l_block"), F.col("qblock").alias("l_q"), "ids", "x")

@@ -61,7 +61,7 @@ def test_pruning_skips_work():
     ids = np.arange(4000)
     _, vecs = np.linalg.eigh(v.T @ v)
     q = v[::400].copy()
-    best = topk.search(ids[::400], q, np.full(len(q), -np.inf), ids, v, vecs[:, ::-1], 20)
+    best = topk.search(ids[::400], q, np.full(len(q), -np.inf), np.full(len(q), 1 << 62), ids, v, vecs[:, ::-1], 20)
     for k in range(len(q)):
         s = q[k] @ v.T
         s[400 * k] = -np.inf

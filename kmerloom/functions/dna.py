@@ -98,3 +98,24 @@ def minimizer(d: Column, k: int, m: int) -> Column:
     """The least valid canonical m-mer of a k-mer, as digits; all G where none is valid."""
     options = [F.when(valid_minimizer(x), x).otherwise("3" * m) for x in mmers(d, k, m)]
     return F.least(*options) if len(options) > 1 else options[0]
+
+
+def strand_codes(d: Column) -> Column:
+    """A generator of one row: a k-mer (k up to 31) and its reverse complement as numbers.
+
+    Behind a generator the numbers are columns of their own; as plain
+    expressions they would be evaluated again for every m-mer.
+    """
+    return F.explode_outer(F.array(F.struct(code(d).alias("forward"), code(reverse_complement_digits(d)).alias("backward"))))
+
+
+def minimizer_of_codes(forward: Column, backward: Column, k: int, m: int) -> Column:
+    """The minimizer as a number, by shifts of both strands' numbers."""
+    whole = (1 << 2 * m) - 1
+    pairs = sum(1 << 2 * p for p in range(m - 2))  # one bit for each two neighbouring bases behind the first
+    options = []
+    for j in range(k - m + 1):
+        x = F.least(F.shiftright(forward, 2 * (k - m - j)).bitwiseAND(F.lit(whole)), F.shiftright(backward, 2 * j).bitwiseAND(F.lit(whole)))
+        other = x.bitwiseOR(F.shiftright(x, 1))  # even bits: bases other than A
+        options.append(F.when(other.bitwiseOR(F.shiftright(other, 2)).bitwiseAND(F.lit(pairs)) == pairs, x).otherwise(F.lit(whole)).cast("bigint"))
+    return F.least(*options) if len(options) > 1 else options[0]

@@ -1,7 +1,9 @@
 """XXH64 with seed 0 of packed k-mers and minimizers, and hash windows.
 
 Spark's own xxhash64 has another seed, so these are Arrow functions over numpy
-vectors. They are called on distinct k-mers, behind the aggregation.
+vectors. They are called on distinct k-mers, behind the aggregation; they are
+declared non-deterministic so that the optimizer moves no inferred filter that
+calls them ahead of it.
 """
 
 from __future__ import annotations
@@ -82,7 +84,7 @@ def kmer_hash(d: Column, window: int) -> Column:
             return pd.Series([], dtype="int64")
         return pd.Series((xxh64_words(pack(kmers)) % np.uint64(window)).astype(np.int64))
 
-    return hashed(d.cast("string"))
+    return hashed.asNondeterministic()(d.cast("string"))
 
 
 def minimizer_partition(number: Column, n_partitions: int) -> Column:
@@ -92,7 +94,7 @@ def minimizer_partition(number: Column, n_partitions: int) -> Column:
     def part(x: pd.Series) -> pd.Series:
         return pd.Series((xxh64_u32(x.to_numpy(np.uint32)) % np.uint64(n_partitions)).astype(np.int32))
 
-    return part(number)
+    return part.asNondeterministic()(number)
 
 
 @dataclass(frozen=True)

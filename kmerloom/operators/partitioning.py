@@ -14,7 +14,11 @@ LONGEST = 255
 def with_minimizer(kmers: DataFrame, k: int, m: int) -> DataFrame:
     """Adds minimizer, a number."""
     dna.check_m(m, k)
-    return kmers.withColumn("minimizer", dna.code(dna.minimizer(F.col("kmer"), k, m)))
+    if k > 31:
+        return kmers.withColumn("minimizer", dna.code(dna.minimizer(F.col("kmer"), k, m)))
+    own = kmers.columns
+    strands = kmers.select(*own, dna.strand_codes(F.col("kmer")).alias("strands_"))
+    return strands.select(*own, dna.minimizer_of_codes(F.col("strands_.forward"), F.col("strands_.backward"), k, m).alias("minimizer"))
 
 
 def with_partition(kmers: DataFrame, k: int, m: int, n_partitions: int) -> DataFrame:

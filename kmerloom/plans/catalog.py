@@ -23,8 +23,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals rows to all cores where there are fewer files than cores, ahead of the explosion into k-mers; else as read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
+
+
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).select(F.col("lang").alias("sample"), dna.clean(F.col("text")).alias("seq"), F.col("doc_id").alias("read_id"))
+    return spread(documents(spark, sf_dir).select(F.col("lang").alias("sample"), dna.clean(F.col("text")).alias("seq"), F.col("doc_id").alias("read_id")))
 
 
 def counts(spark, sf_dir, least: int = HARD) -> DataFrame:

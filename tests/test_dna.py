@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from kmerloom.functions import bits, dna, hashing
+from kmerloom.operators.partitioning import with_minimizer
 
 ORDER = "ACTG"
 
@@ -43,7 +44,10 @@ def test_canonical_and_minimizer(spark, k):
     m = min(6, k)
     df = spark.createDataFrame([(s,) for s in seqs], "s string")
     got = df.select("s", dna.canonical(F.col("s")).alias("c"), dna.reverse_complement(F.col("s")).alias("r"), dna.letters(dna.minimizer(dna.canonical_digits(dna.digits(F.col("s"))), k, m)).alias("m")).collect()
+    numbers = {r["kmer"]: r["minimizer"] for r in with_minimizer(df.select(dna.canonical_digits(dna.digits(F.col("s"))).alias("kmer")), k, m).collect()}
+    number = lambda x: x.translate(str.maketrans("ACTG", "0123"))
     for s, c, rev, mm in got:
+        assert numbers[number(c)] == int(number(mm), 4)
         assert c == canonical(s) and rev == rc(s) and mm == slow_minimizer(canonical(s), m)
 
 

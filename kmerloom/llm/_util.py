@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 CHUNK_CHARS = 12_000_000
 
 _own_dirs: dict[str, str] = {}
+_spilled: dict[str, list[str]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,9 +37,18 @@ def spill(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/kmerloom-{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _spilled.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes what `spill` wrote in this application. Results that still read it must be written first."""
+    jvm = spark.sparkContext._jvm
+    for path in _spilled.pop(spark.sparkContext.applicationId, []):
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,0 +1,24 @@
+import os
+
+from kmerloom.llm import _util as U
+
+
+def test_spilled_tables_go(spark):
+    df = U.spill(spark.range(5).toDF("x"), "test")
+    assert df.count() == 5
+    path = U._spilled[spark.sparkContext.applicationId][-1].removeprefix("file://")
+    assert path.startswith(U.scratch_dir(spark).removeprefix("file://")) and os.path.isdir(path)
+    U.clear(spark)
+    assert not os.path.exists(path)
+
+
+def test_repeated_keys_across_batches(spark):
+    """A key of many rows, over batches of a few rows."""
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        rows = [(7, c, False) for c in range(50)] + [(k, 1, False) for k in range(100, 120)] + [(200, 4, True), (201, 5, True), (201, 6, False)]
+        got = U.repeated(spark.createDataFrame(rows, "h long, chunk int, many boolean")).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert sorted(map(tuple, got)) == sorted([(7, c) for c in range(50)] + [(200, 4), (201, 5), (201, 6)])

@@ -142,3 +142,10 @@ def test_streams(spark, small, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("windows").columns == ["start", "sample", "kmer", "cnt"]
+
+
+def test_api_is_whole():
+    from kmerloom import api
+
+    assert all(hasattr(api, name) for name in api.__all__)
+    assert api.infos()["k"] == (8, 127)

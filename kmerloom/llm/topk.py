@@ -3,8 +3,10 @@
 Vectors are dealt by descending length into blocks of `BLOCK`. An orthogonal
 rotation from the singular vectors of all vectors (through their Gram matrix)
 puts most of every product into the first `HEAD` dimensions. Queries meet the
-block of the longest vectors first, which gives each a k-th best score to beat;
-then only pairs of query block and vector block whose lengths allow that score
+block of the longest vectors first, which gives each a k-th best score to beat,
+then seven blocks, fifty-six and so on: the score to beat rises from round to
+round, so that a round's results stay a few times k for each query, and only
+pairs of query block and vector block whose lengths allow that score
 (Cauchy-Schwarz) are looked at. Within a pair, vectors come in order of length:
 a run of them ends the search of a query once length times length cannot reach
 its k-th score, and of the rest only those are scored exactly whose partial sum
@@ -23,7 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _util as U
@@ -31,6 +33,8 @@ from . import _util as U
 K = 20
 QUERIES_EACH = 20
 BLOCK, QUERY_BLOCK, RUN, HEAD = 4096, 2048, 512, 16
+#: Each round takes so many times as many blocks as all before.
+GROWTH = 8
 SCALE = 64
 SLACK = 1e-9
 FOUND = "qblock long, q int, query_id long, vec_id long, score long"
@@ -201,7 +205,6 @@ def top_products(embeddings: DataFrame, queries, k: int = K, block: int = BLOCK,
     r = rotation(vectors, d)
     candidates = U.spill(blocks(vectors, block, d, "block", True), "blocks")
     asked = U.spill(blocks(vectors.where(queries), query_block, d, "qblock", False), "queries")
-    first = candidates.agg(F.max(F.struct("longest", (-F.col("block")).alias("back"))).alias("m")).select((-F.col("m.back")).alias("block")).first()
 
     def pair(key, left, right):
         v = np.frombuffer(left.column("x")[0].as_py(), np.float64).reshape(-1, d)
@@ -219,15 +222,6 @@ def top_products(embeddings: DataFrame, queries, k: int = K, block: int = BLOCK,
             rows.append(pa.table({"qblock": pa.array(np.full(len(which), right.column("qblock")[n].as_py()), pa.int64()), "q": which, "query_id": q_ids[which], "vec_id": np.concatenate([np.zeros(0, np.int64), *best.vec]), "score": np.concatenate([np.zeros(0, np.int64), *best.score])}))
         return pa.concat_tables(rows)
 
-    if first is None or first[0] is None:
-        return embeddings.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    start = candidates.where(F.col("block") == first[0])
-    # the first block goes to every query block
-    a = start.join(asked.select(F.col("qblock").alias("a_q")), how="cross").select(F.col("block").alias("a_block"), "a_q", "ids", "x")
-    b = asked.select(F.lit(first[0]).cast("long").alias("block"), "qblock", "ids", "x", F.lit(None).cast("binary").alias("least"), F.lit(None).cast("binary").alias("last"))
-    found = U.spill(a.groupBy("a_block", "a_q").cogroup(b.groupBy("block", "qblock")).applyInArrow(pair, FOUND), "found")
-    kth = found.groupBy("qblock", "q").agg(F.count("*").alias("n"), F.min(F.struct("score", (-F.col("vec_id")).alias("back"))).alias("m")).where(F.col("n") >= k).select("qblock", "q", F.col("m.score").alias("least"), (-F.col("m.back")).alias("last"))
-
     def thresholds(key, left, right):
         n = len(left.column("ids")[0].as_py()) // 8
         least = np.full(n, -np.inf)
@@ -240,18 +234,27 @@ def top_products(embeddings: DataFrame, queries, k: int = K, block: int = BLOCK,
         need = float(np.where(np.isneginf(least) | (least <= 0), 0.0, (least - 1) / np.maximum(length * (1 + SLACK), 1e-300)).min())
         return pa.table({"qblock": left.column("qblock"), "ids": left.column("ids"), "x": left.column("x"), "least": pa.array([least.tobytes()], pa.binary()), "last": pa.array([last.tobytes()], pa.binary()), "need": pa.array([need])})
 
-    ready = U.spill(asked.select("qblock", "ids", "x").groupBy("qblock").cogroup(kth.withColumnRenamed("qblock", "of").groupBy("of")).applyInArrow(thresholds, "qblock long, ids binary, x binary, least binary, last binary, need double"), "ready")
-    # lengths alone decide which pairs of blocks meet; a row stands for thousands of vectors
-    meet = candidates.where(F.col("block") != first[0]).select("block", "longest").join(ready.select("qblock", "need"), F.col("longest") >= F.col("need") * (1 - SLACK)).select("block", "qblock")
-    left = meet.join(candidates.select("block", "ids", "x"), "block").select(F.col("block").alias("l_block"), F.col("qblock").alias("l_q"), "ids", "x")
-    right = meet.join(ready.drop("need"), "qblock")
-    rest = left.groupBy("l_block", "l_q").cogroup(right.groupBy("block", "qblock")).applyInArrow(pair, FOUND)
-
-    from pyspark.sql import Window
-
     order = Window.partitionBy("qblock", "q").orderBy(F.desc("score"), "vec_id")
-    ranked = found.unionByName(rest).select("*", F.row_number().over(order).alias("rank")).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    found, last_block = None, candidates.agg(F.max("block")).first()[0]
+    low, high = 0, 1
+    while last_block is not None and low <= last_block >> 20:
+        if found is None:
+            ready = asked.select("qblock", "ids", "x", F.lit(None).cast("binary").alias("least"), F.lit(None).cast("binary").alias("last"), F.lit(0.0).alias("need"))
+        else:
+            kth = found.where(F.col("rank") == k).select(F.col("qblock").alias("of"), "q", F.col("score").alias("least"), F.col("vec_id").alias("last"))
+            ready = U.spill(asked.select("qblock", "ids", "x").groupBy("qblock").cogroup(kth.groupBy("of")).applyInArrow(thresholds, "qblock long, ids binary, x binary, least binary, last binary, need double"), "ready")
+        part = candidates.where(F.shiftright("block", 20).between(low, high - 1))
+        # lengths alone decide which pairs of blocks meet; a row stands for thousands of vectors
+        meet = part.select("block", "longest").join(ready.select("qblock", "need"), F.col("longest") >= F.col("need") * (1 - SLACK)).select("block", "qblock")
+        left = meet.join(part.select("block", "ids", "x"), "block").select(F.col("block").alias("l_block"), F.col("qblock").alias("l_q"), "ids", "x")
+        right = meet.join(ready.drop("need"), "qblock")
+        new = left.groupBy("l_block", "l_q").cogroup(right.groupBy("block", "qblock")).applyInArrow(pair, FOUND)
+        both = new if found is None else found.drop("rank").unionByName(new)
+        found = U.spill(both.select("*", F.row_number().over(order).alias("rank")).where(F.col("rank") <= k), "found")
+        low, high = high, high * GROWTH
+    if found is None:
+        return embeddings.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    return found.select("query_id", "rank", "vec_id", "score")
 
 
 def op9_norm_sorted_products(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -192,22 +192,20 @@ def score_texts(docs: DataFrame, held_out: int = 10, frequent: int = FREQUENT, n
     def contexts(t):
         """Of every word of the chunk but the frequent ones: the classes around it in learning texts, a pair of bytes each time."""
         number = defaultdict(count().__next__)
-        at, around = [np.zeros(0, np.int64)], [np.zeros((0, 2), np.uint8)]
+        runs = [np.array([-1], np.int32)]  # texts to learn from, with -1 at every end
         for text, held in zip(t.column("text"), t.column("held_out").to_pylist(), strict=True):
             w = words(text.as_py())
-            k = np.fromiter(map(number.__getitem__, w), np.int64, len(w))
-            if held or not len(w):
-                continue
-            c = np.full(len(w) + 2, end, np.uint8)
-            c[1:-1] = np.fromiter(map(class_of.get, w, repeat(other)), np.uint8, len(w))
-            rare = c[1:-1] == other
-            at.append(k[rare])
-            around.append(np.column_stack([c[:-2], c[2:]])[rare])
-        at, around = np.concatenate(at), np.concatenate(around)
-        around = around[np.argsort(at, kind="stable")]
-        n = np.bincount(at, minlength=len(number))
-        names = list(number)
-        keep = [w not in class_of for w in names]
+            k = np.fromiter(map(number.__getitem__, w), np.int32, len(w))
+            if not held:
+                runs += [k, runs[0]]
+        names, k = list(number), np.concatenate(runs)
+        class_at = np.array([*map(class_of.get, names, repeat(other)), end], np.uint8)
+        c = class_at[k]
+        rare = np.flatnonzero((c == other) & (k >= 0))
+        rare = rare[np.argsort(k[rare], kind="stable")]
+        around = np.column_stack([c[rare - 1], c[rare + 1]])
+        n = np.bincount(k[rare], minlength=len(names))
+        keep = class_at[:-1] == other
         offsets = np.concatenate([[0], np.cumsum(2 * n)]).astype(np.int32)
         codes = pa.Array.from_buffers(pa.binary(), len(names), [None, pa.py_buffer(offsets), pa.py_buffer(around.tobytes())])
         mask = pa.array(keep, pa.bool_())
@@ -223,8 +221,6 @@ def score_texts(docs: DataFrame, held_out: int = 10, frequent: int = FREQUENT, n
             new = np.array([True, *(a != b for a, b in zip(py, py[1:], strict=False))])
             run = np.cumsum(new) - 1
             codes = rows.column("codes").combine_chunks()
-            if isinstance(codes, pa.ChunkedArray):
-                codes = codes.chunk(0) if codes.num_chunks else pa.array([], pa.binary())
             offsets = np.frombuffer(codes.buffers()[1], np.int32)[codes.offset : codes.offset + len(codes) + 1]
             data = codes.buffers()[2]
             flat = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].reshape(-1, 2).astype(np.int64) if data is not None else np.zeros((0, 2), np.int64)
@@ -260,31 +256,28 @@ def score_texts(docs: DataFrame, held_out: int = 10, frequent: int = FREQUENT, n
         number = dict(zip(names, range(len(names)), strict=True))
         for k, w in enumerate(top_words):
             number[w] = len(names) + k
-        n_of = np.concatenate([right.column("n").to_numpy(), [count_of[w] for w in top_words], [n_docs, 0]]).astype(np.int64)
+        n_of = np.concatenate([right.column("n").to_numpy(), [count_of[w] for w in top_words], [n_docs, 0]]).astype(np.uint32 if total < 1 << 32 else np.int64)
         c_of = np.concatenate([right.column("cls").to_numpy(), classes, [end, size]]).astype(np.uint8)
+        base_of = np.log10((n_of + ADD) / (total + ADD * (v + 1)))
         last, unknown = len(n_of) - 2, len(n_of) - 1
-        moves = np.zeros((size + 1) ** 2, np.int64)
-        out = {k: [] for k in ("n_tokens", "n_known", "base_score", "classes", "counts")}
-        for text, held in zip(left.column("text"), left.column("held_out").to_pylist(), strict=True):
+        ends, runs, sizes = np.array([last], np.int32), [], []
+        for text in left.column("text"):
             w = words(text.as_py())
-            k = np.full(len(w) + 1, last, np.int64)
-            k[:-1] = np.fromiter(map(number.get, w, repeat(unknown)), np.int64, len(w))
-            n, c = n_of[k], c_of[k]
-            if not held:
-                before = np.concatenate([[end], c[:-1]]).astype(np.int64)
-                moves += np.bincount(before * (size + 1) + c, minlength=len(moves))
-            out["n_tokens"].append(len(k))
-            out["n_known"].append(int((n > 0).sum()))
-            out["base_score"].append(float(np.log10((n + ADD) / (total + ADD * (v + 1))).sum()))
-            out["classes"].append(c.tobytes())
-            out["counts"].append(n.astype(np.uint32).tobytes() if total < 1 << 32 else n.tobytes())
-        rows = len(left)
+            runs += [np.fromiter(map(number.get, w, repeat(unknown)), np.int32, len(w)), ends]
+            sizes.append(len(w) + 1)
+        k, start = np.concatenate(runs), np.concatenate([[0], np.cumsum(sizes)])
+        n, c = n_of[k], c_of[k]
+        before = np.concatenate([[end], c[:-1]])  # every text ends with the end, which comes before the next one's first token
+        held = np.repeat(left.column("held_out").to_numpy(), sizes)
+        moves = np.bincount(before[~held].astype(np.int64) * (size + 1) + c[~held], minlength=(size + 1) ** 2)
+        binary = lambda values, width: pa.concat_arrays([pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer((start * width).astype(np.int32)), pa.py_buffer(values)]), pa.nulls(1, pa.binary())])
         return pa.table({
             "doc_id": pa.array([*left.column("doc_id").to_pylist(), None], pa.int64()),
             "held_out": pa.array([*left.column("held_out").to_pylist(), None], pa.bool_()),
-            "n_tokens": pa.array([*out["n_tokens"], None], pa.int64()), "n_known": pa.array([*out["n_known"], None], pa.int64()), "base_score": pa.array([*out["base_score"], None], pa.float64()),
-            "classes": pa.array([*out["classes"], None], pa.binary()), "counts": pa.array([*out["counts"], None], pa.binary()),
-            "moves": pa.array([None] * rows + [moves.tolist()], pa.list_(pa.int64())),
+            "n_tokens": pa.array([*sizes, None], pa.int64()), "n_known": pa.array([*np.add.reduceat((n > 0).astype(np.int64), start[:-1]).tolist(), None], pa.int64()),
+            "base_score": pa.array([*np.add.reduceat(base_of[k], start[:-1]).tolist(), None], pa.float64()),
+            "classes": binary(c.tobytes(), 1), "counts": binary(n.tobytes(), n.itemsize),
+            "moves": pa.array([None] * len(sizes) + [moves.tolist()], pa.list_(pa.int64())),
         })
 
     by_word = docs.groupBy("chunk").applyInArrow(contexts, "word binary, chunk int, codes binary")

@@ -150,22 +150,25 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, penalt
         pack = lambda f: sorted((number(k), v) for k, v in features(f).items())
         for b in batches:
             rows = []
-            for doc, toxic, text in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+            for doc, row, toxic, text in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
                 found = words(text)
-                rows += [(doc, toxic, turn, pack(t)) for turn, t in enumerate([found, swapped(found, 1), swapped(found, 2)]) if t is not None]
-            doc, toxic, turn, packed = zip(*rows, strict=True) if rows else [()] * 4
+                rows += [(doc, row, toxic, turn, pack(t)) for turn, t in enumerate([found, swapped(found, 1), swapped(found, 2)]) if t is not None]
+            doc, row, toxic, turn, packed = zip(*rows, strict=True) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc, pa.int64()), pa.array(toxic, pa.int32()), pa.array(turn, pa.int32()), pa.array([[k for k, _ in f] for f in packed], pa.list_(pa.int64())), pa.array([[v for _, v in f] for f in packed], pa.list_(pa.float32()))],
-                ["doc_id", "toxic", "turn", "features", "values"],
+                [pa.array(doc, pa.int64()), pa.array(row, pa.int64()), pa.array(toxic, pa.int32()), pa.array(turn, pa.int32()), pa.array([[k for k, _ in f] for f in packed], pa.list_(pa.int64())), pa.array([[v for _, v in f] for f in packed], pa.list_(pa.float32()))],
+                ["doc_id", "row", "toxic", "turn", "features", "values"],
             )
 
-    got = docs.join(chosen, "doc_id").select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, turn int, features array<long>, values array<float>").toArrow().sort_by([("doc_id", "ascending"), ("turn", "ascending")])
+    chosen_texts = docs.join(chosen, "doc_id").select("doc_id", F.xxhash64("text").alias("row"), "toxic", "text")
+    got = chosen_texts.mapInArrow(run, "doc_id long, row long, toxic int, turn int, features array<long>, values array<float>").toArrow()
+    doc, row, toxic, turn = (got.column(k).to_numpy() for k in ("doc_id", "row", "toxic", "turn"))
     numbers, values = (got.column(k).combine_chunks() for k in ("features", "values"))
-    edge, numbers, values = numbers.offsets.to_numpy(), numbers.values.to_numpy(), values.values.to_numpy().astype(float)
-    found = [(numbers[a:b], values[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
-    turn, toxic, x, y, pairs = got.column("turn").to_pylist(), got.column("toxic").to_pylist(), [], [], []
-    for k, f in enumerate(found):
-        if turn[k]:  # behind the row that it is a counterfactual of, also where rows are repeated
+    del got
+    edge, numbers, values = numbers.offsets.to_numpy(), numbers.values.to_numpy(), values.values.to_numpy()
+    x, y, pairs = [], [], []
+    for k in np.lexsort((turn, row, doc)).tolist():  # not by arrival; a counterfactual comes behind its text
+        f = numbers[edge[k] : edge[k + 1]], values[edge[k] : edge[k + 1]]
+        if turn[k]:
             pairs.append((len(x) - 1, f))
         else:
             x.append(f)

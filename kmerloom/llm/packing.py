@@ -35,7 +35,7 @@ WINDOW = 1024
 END_ID = 0
 MAX_OPEN = 4096
 #: Pieces of text of which a worker remembers the ids.
-MEMO = 1_000_000
+MEMO = 700_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _NEAR_SPACES = re.compile(r"\s\s|^\s|\s$")

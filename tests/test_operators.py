@@ -37,9 +37,10 @@ def some_reads(n=60, seed=1):
 def test_counts(spark, k):
     rows = some_reads()
     got = {(s, x): n for s, x, n in counting.count_kmers(reads(spark, rows), k).select("sample", dna.letters(F.col("kmer")), "cnt").collect()}
-    assert got == dict(slow_counts(rows, k))
+    slow = slow_counts(rows, k)
+    assert got == dict(slow)
     fused = merging.columns(merging.count_matrix(reads(spark, rows), ABC, k, 2), ABC).collect()
-    want = {x: tuple(n if (n := slow_counts(rows, k).get((s, x), 0)) >= 2 else 0 for s in ABC) for _, x in got}
+    want = {x: tuple(n if (n := slow.get((s, x), 0)) >= 2 else 0 for s in ABC) for _, x in got}
     assert {r[0]: tuple(r[1:]) for r in fused} == {x: c for x, c in want.items() if any(c)}
 
 

@@ -61,7 +61,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
     else:
         keyed = texts.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), tokens(F.col("text")).alias("words"))
         places = keyed.select("row", "words", positions(F.col("words")).alias("p")).where("p IS NOT NULL").select("row", "p", seeds(F.col("words"), F.col("p")).alias("seed"))
-        hits = places.join(of_items, "seed").select("row", "p", "item", "q").distinct().join(keyed, "row")
+        # the seed tells the masks apart: each counts, as above; only repeated rows, which keyed brings back, are merged
+        hits = places.join(of_items, "seed").select("row", "p", "item", "q", "seed").distinct().join(keyed, "row")
     hits = hits.join(held(items), "item")
 
     length = F.least(F.lit(window), F.size("item_words"))

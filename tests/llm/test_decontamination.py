@@ -57,6 +57,17 @@ def test_equals_brute_force_by_either_join(spark):
     assert sorted(tuple(r[c] for c in cols) for r in far) == sorted(tuple(r[c] for c in cols) for r in got)
 
 
+def test_both_joins_count_each_mask(spark):
+    """An exact copy of 40 tokens: 29 positions, each hit by every mask; a repeated row counts again."""
+    item = " ".join(f"u{k}" for k in range(40))
+    rows, items = case()
+    assert [r["n_hits"] for r in run(spark, [(1, item)], [(1, item)], broadcast_seeds=0).collect()] == [87]
+    rows = [*rows, (900, item), (900, item), (901, item)]
+    near, far = (sorted(map(tuple, run(spark, rows, [*items, (70, item)], **kw).collect()), key=str) for kw in ({}, {"broadcast_seeds": 0}))
+    assert near == far
+    assert {(i, n) for i, j, n, *_ in far if j == 70} == {(900, 174), (901, 87)}
+
+
 def test_no_python_in_the_plan(spark, sf_dir):
     from kmerloom.llm.licenses import op6_dice_licenses
 

@@ -13,25 +13,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dna
+from ._dense import fill
 from .counting import explode_kmers
 
-#: Up to so many samples a matrix row is built from an aggregate for each sample, beyond from a map.
+#: Up to so many samples a matrix row is built from an aggregate for each sample, beyond from its cells laid out in Arrow batches.
 WIDE = 64
 
 
-def _position(samples: list[str]) -> Column:
-    return F.array_position(F.array(*map(F.lit, samples)), F.col("sample")) - 1
-
-
 def merge_counts(counts: DataFrame, samples: list[str], key: str = "kmer") -> DataFrame:
     """(key, counts) from the long form; a key that no listed sample holds gives no row."""
-    known = counts.where(F.col("sample").isin(samples))
     if len(samples) <= WIDE:
+        known = counts.where(F.col("sample").isin(samples))
         cells = [F.coalesce(F.sum(F.when(F.col("sample") == s, F.col("cnt"))), F.lit(0)).cast("bigint") for s in samples]
         return known.groupBy(key).agg(F.array(*cells).alias("counts"))
-    pairs = F.map_from_entries(F.collect_list(F.struct(_position(samples).cast("int"), F.col("cnt"))))  # as many as samples
-    rows = known.groupBy(key).agg(pairs.alias("m"))
-    return rows.select(key, F.transform(F.sequence(F.lit(0), F.lit(len(samples) - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0)).cast("bigint")).alias("counts"))
+    places = F.broadcast(counts.sparkSession.createDataFrame(list(enumerate(samples)), "place_ int, sample string"))  # a row for each sample
+    return fill(counts.join(places, "sample"), [key], F.col("place_"), F.col("cnt"), len(samples), "counts")
 
 
 def count_matrix(reads: DataFrame, samples: list[str], k: int, hard_min: int = 2) -> DataFrame:

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import dna, hashing
 
 #: The most k-mers of a super-k-mer.
 LONGEST = 255
+#: K-mers of a read looked at together.
+BLOCK = 1 << 20
+#: The code of characters other than A, C, T, G.
+OTHER = 4
 
 
 def with_minimizer(kmers: DataFrame, k: int, m: int) -> DataFrame:
@@ -51,21 +58,78 @@ def restrict_fraction(fraction: float, n_partitions: int, seed: int = 0) -> list
     return sorted(random.Random(seed).sample(range(n_partitions), max(1, int(n_partitions * fraction))))
 
 
+def window_minimizers(codes: np.ndarray, k: int, m: int) -> np.ndarray:
+    """Minimizers, as numbers, of every k-mer of a sequence of digits; -1 for those that hold another character (4)."""
+    n = len(codes) - m + 1
+    forward, backward = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for j in range(m):
+        d = codes[j : j + n].astype(np.int64)
+        forward = forward << 2 | d & 3
+        backward |= (d & 3 ^ 2) << 2 * j
+    x = np.minimum(forward, backward)
+    pairs = sum(1 << 2 * p for p in range(m - 2))  # one bit for each two neighbouring bases behind the first
+    other = x | x >> 1
+    x = np.where((other | other >> 2) & pairs == pairs, x, (1 << 2 * m) - 1)
+    width, whole = 1, k - m + 1
+    while 2 * width <= whole:
+        x = np.minimum(x[:-width], x[width:])
+        width *= 2
+    n = len(codes) - k + 1
+    x = np.minimum(x[:n], x[whole - width : whole - width + n])
+    wrong = np.concatenate([[0], np.cumsum(codes == OTHER)])
+    return np.where(wrong[k:] == wrong[:-k], x, -1)
+
+
+def minimizer_runs(codes: np.ndarray, k: int, m: int, longest: int = LONGEST, block: int = BLOCK):
+    """(starts, numbers of k-mers, minimizers) of the super-k-mers of a sequence of digits, some at a time."""
+    n = len(codes) - k + 1
+    start, value = np.zeros(0, np.int64), np.zeros(0, np.int64)  # the last run may go on in the next block
+    for at in range(0, n, block):
+        x = window_minimizers(codes[at : at + block + k - 1], k, m)
+        edge = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+        new = edge[1:] if len(value) and value[0] == x[0] else edge
+        start, value = np.concatenate([start, new + at]), np.concatenate([value, x[new]])
+        last = at + block >= n
+        length = np.diff(start, append=n)[: None if last else -1]
+        pieces = np.where(value[: len(length)] < 0, 0, -(-length // longest))
+        which = np.repeat(np.arange(len(length)), pieces)
+        within = (np.arange(len(which)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * longest
+        yield start[which] + within, np.minimum(longest, length[which] - within), value[which]
+        start, value = start[-1:], value[-1:]
+
+
 def super_kmers(reads: DataFrame, k: int, m: int, longest: int = LONGEST) -> DataFrame:
-    """(read_id, run, start, n_kmers, minimizer): runs of neighbouring k-mers with one minimizer, cut at `longest`.
+    """All columns of reads but seq, and run, start, n_kmers, minimizer: neighbouring k-mers of a read with one minimizer, cut at `longest`.
 
-    Windows are over one run of a read: the unit that a sequencer bounds.
+    run numbers the pieces of A, C, G, T of a read, start is a place in one.
+    Reads are worked on where they lie, those of a batch together, in blocks of
+    k-mers: nothing is shuffled, and reads of equal names (of other samples or
+    files, or mates) stay apart.
     """
     dna.check_m(m, dna.check_k(k))
-    runs = reads.select("read_id", F.posexplode(dna.segments(F.col("seq"))).alias("run", "piece")).where(F.length("piece") >= k)
-    forward = dna.digits(F.col("piece"))
-    strands = runs.select("read_id", "run", forward.cast("binary").alias("forward"), dna.reverse_complement_digits(forward).cast("binary").alias("backward"))
-    placed = strands.select("read_id", "run", "forward", "backward", F.explode(dna.kmer_positions(F.col("forward"), k)).alias("start"))
-    kmers = placed.select("read_id", "run", "start", dna.kmer_at(F.col("forward"), F.col("backward"), F.col("start"), k).cast("string").alias("kmer"))
-    marked = with_minimizer(kmers, k, m)
-    w = Window.partitionBy("read_id", "run").orderBy("start")
-    new = (F.col("minimizer") != F.lag("minimizer").over(w)).cast("int")
-    grouped = marked.withColumn("new", F.coalesce(new, F.lit(1))).withColumn("block", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    first = F.min("start").over(Window.partitionBy("read_id", "run", "block"))
-    cut = grouped.withColumn("part_of_block", F.floor((F.col("start") - first) / longest))
-    return cut.groupBy("read_id", "run", "block", "part_of_block").agg(F.min("start").alias("start"), F.count("*").alias("n_kmers"), F.first("minimizer").alias("minimizer")).drop("block", "part_of_block")
+    own = [f for f in reads.schema.fields if f.name != "seq"]
+    names = [*(f.name for f in own), "run", "start", "n_kmers", "minimizer"]
+    digit = np.full(256, OTHER, np.uint8)
+    for c, d in zip("ACTGactg", (0, 1, 2, 3) * 2, strict=True):
+        digit[ord(c)] = d
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            kept = b.select(range(len(own)))
+            texts = [t or b"" for t in b.column(len(own)).cast(pa.binary()).to_pylist()]
+            first = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])[:-1]  # one more character parts two reads
+            codes = digit[np.frombuffer(b"-".join(texts), np.uint8)]
+            wrong = np.flatnonzero(codes == OTHER)
+            inside = np.setdiff1d(wrong, first[1:] - 1, assume_unique=True)
+            gaps = inside[np.diff(inside, prepend=-2) > 1]
+            for at, n, value in minimizer_runs(codes, k, m, longest):
+                i = np.searchsorted(first, at, side="right") - 1
+                number = np.searchsorted(gaps, at) - np.searchsorted(gaps, first[i])
+                before = np.searchsorted(wrong, at)
+                piece = np.where(before > 0, wrong[before - 1] + 1, 0) if len(wrong) else np.zeros(len(at), np.int64)
+                yield pa.RecordBatch.from_arrays([*kept.take(pa.array(i)).columns, pa.array(number.astype(np.int32)), pa.array(at - piece), pa.array(n), pa.array(value)], names)
+
+    schema = StructType([*own, *StructType.fromDDL("run int, start bigint, n_kmers bigint, minimizer bigint").fields])
+    return reads.select(*(F.col(f"`{f.name}`") for f in own), "seq").mapInArrow(run, schema)

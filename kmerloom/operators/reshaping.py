@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bits, dna
+from ._dense import fill
 
 
 def presence(matrix: DataFrame) -> DataFrame:
@@ -35,18 +36,31 @@ def per_sample_slots(matrix: DataFrame, samples: list[str]) -> DataFrame:
     return cells.select(F.get(F.array(*map(F.lit, samples)), F.col("i")).alias("sample"), "slot")
 
 
-def per_sample_filters(matrix: DataFrame, samples: list[str], window) -> DataFrame:
-    """(sample, part, words): a sample's filter as signed 64-bit words of one window, bit i of a word for slot 64 w + i.
+def sample_vectors(slots: DataFrame, window) -> DataFrame:
+    """(sample, part, words) of (sample, slot) rows: a sample's set slots as signed 64-bit words of one window, bit i of a word for slot 64 w + i.
 
-    A word is a sum of distinct powers of two (bit_or), so grouping is partial;
-    a window's words are the largest group, of a fixed size.
+    A word is a union of powers of two (bit_or), so grouping is partial; a
+    window's words are the largest group, of a fixed size, and are laid out in
+    a time that is in proportion to them.
     """
-    cells = per_sample_slots(matrix, samples)
-    words = cells.groupBy("sample", F.floor(F.col("slot") / 64).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("slot", F.lit(64)).cast("int"))).alias("word"))
-    placed = words.select("sample", F.floor(F.col("w") * 64 / window.window).cast("int").alias("part"), "w", "word")
-    grouped = placed.groupBy("sample", "part").agg(F.map_from_entries(F.collect_list(F.struct("w", "word"))).alias("m"))
-    first = F.col("part").cast("bigint") * (window.window // 64)
-    return grouped.select("sample", "part", F.transform(F.sequence(first, first + window.window // 64 - 1), lambda w: F.coalesce(F.element_at("m", w), F.lit(0).cast("bigint"))).alias("words"))
+    size = window.window // 64
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("slot", F.lit(64)).cast("int"))
+    words = slots.groupBy("sample", F.floor(F.col("slot") / 64).alias("w")).agg(F.bit_or(bit).alias("word"))
+    placed = words.select("sample", F.floor(F.col("w") / size).cast("int").alias("part"), F.pmod("w", F.lit(size)).alias("w"), "word")
+    return fill(placed, ["sample", "part"], F.col("w"), F.col("word"), size, "words")
+
+
+def per_sample_filters(matrix: DataFrame, samples: list[str], window) -> DataFrame:
+    """(sample, part, words): a sample's filter over every partition's window that holds a slot of it; see `sample_vectors`."""
+    return sample_vectors(per_sample_slots(matrix, samples), window)
+
+
+def vector_slots(vectors: DataFrame, window) -> DataFrame:
+    """(sample, slot) of the set bits of stored vectors."""
+    words = vectors.select("sample", "part", F.posexplode("words").alias("w", "word")).where("word <> 0")
+    first = F.col("part").cast("bigint") * window.window + F.col("w") * 64
+    bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda j: F.call_function("shiftrightunsigned", F.col("word"), j).bitwiseAND(F.lit(1)) == 1)
+    return words.select("sample", F.explode(F.transform(bits, lambda j: first + j)).alias("slot"))
 
 
 def text_lines(matrix: DataFrame, key: str = "kmer") -> DataFrame:

@@ -24,9 +24,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deals rows to all cores where there are fewer files than cores, ahead of the explosion into k-mers; else as read."""
+    """Deals rows to all cores where there are fewer partitions than cores, ahead of the explosion into k-mers; else as read."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,7 +139,7 @@ def minimizer(s, d):
 
 @query
 def superkmers(s, d):
-    return partitioning.super_kmers(reads(s, d), K, M).select("read_id", F.col("start").cast("bigint").alias("start"), "n_kmers", "minimizer")
+    return partitioning.super_kmers(reads(s, d), K, M).select("read_id", "start", "n_kmers", "minimizer")
 
 
 @query
@@ -209,8 +209,7 @@ def pa_text(s, d):
 
 @query
 def plugin_threshold(s, d):
-    """Over two samples, as no k-mer is in all four."""
-    return wide(merging.apply_plugin(matrix(s, d, 1, ["en", "fr"]), merging.all_at_least(1)), ["en", "fr"])
+    return wide(merging.apply_plugin(matrix(s, d, 1), merging.all_at_least(1)))
 
 
 @query

@@ -137,7 +137,7 @@ def build(samples: list[str], k: int, m: int, parts: int, hard: int, window: int
         "pa_matrix": f"WITH {base}, {matrix(hard)} SELECT {show} AS kmer, {bits} FROM matrix",
         "matrix_text": f"WITH {base}, {matrix(hard)} SELECT {line(names)} AS line FROM matrix",
         "pa_text": f"WITH {base}, {matrix(hard)} SELECT {line([f'({c} > 0)::BIGINT' for c in names])} AS line FROM matrix",
-        "plugin_threshold": f"WITH {base}, {matrix(1)} SELECT {show} AS kmer, c_en, c_fr FROM matrix WHERE {all_at(1, ['c_en', 'c_fr'])}",
+        "plugin_threshold": f"WITH {base}, {matrix(1)} SELECT {show} AS kmer, {cols} FROM matrix WHERE {all_at(1)}",
         "plugin_prefix": f"WITH {base}, {matrix(hard)} SELECT {show} AS kmer, {cols} FROM matrix WHERE NOT starts_with(d, '0') OR ({all_at(2)})",
         "aggregate_counts": f"WITH {base} SELECT sample, {show} AS kmer, cnt FROM counts WHERE cnt >= {hard}",
         "aggregate_keys": f"WITH {base}, {matrix(hard)} SELECT {show} AS kmer FROM matrix",

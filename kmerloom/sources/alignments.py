@@ -9,6 +9,7 @@ from __future__ import annotations
 import gzip
 import io
 import struct
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,9 @@ from pyspark.sql import functions as F
 #: The base of each 4-bit code of the format.
 BASES = "=ACMGRSVTWYHKDBN"
 
+#: Records handed on together.
+BATCH = 50_000
+
 SCHEMA = "path string, read_id string, flag int, ref string, seq string"
 
 
@@ -53,7 +57,8 @@ def read_bam(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     def run(batches):
         for pdf in batches:
             for path, data in zip(pdf["path"], pdf["content"], strict=True):
-                rows = [(path, *r) for r in parse_bam(data)]
-                yield pd.DataFrame(rows, columns=["path", "read_id", "flag", "ref", "seq"])
+                records = parse_bam(data)
+                while rows := [(path, *r) for r in islice(records, BATCH)]:
+                    yield pd.DataFrame(rows, columns=["path", "read_id", "flag", "ref", "seq"])
 
-    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, SCHEMA)
+    return spark.read.format("binaryFile").load(paths).select(F.col("_metadata.file_path").alias("path"), "content").mapInPandas(run, SCHEMA)

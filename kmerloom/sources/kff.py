@@ -78,6 +78,20 @@ def kff_files(counts: DataFrame, k: int, data_size: int = 4, rows: int = 200_000
     return counts.select("kmer", "cnt").mapInPandas(run, "content binary")
 
 
+def write_files(files: DataFrame, folder: str) -> int:
+    """Writes (content) rows as numbered files to a folder that the driver reaches, one at a time; gives their number."""
+    spark = files.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    n = 0
+    for r in files.select("content").toLocalIterator():
+        out = fs.create(path(f"{folder}/part-{n:05d}.kff"))
+        out.write(bytearray(r["content"]))
+        out.close()
+        n += 1
+    return n
+
+
 def read_kff(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(kmer, cnt) of KFF files."""
     return decode_files(spark.read.format("binaryFile").load(paths).select("content"))

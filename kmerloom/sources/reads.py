@@ -1,4 +1,4 @@
-"""FASTA and FASTQ reads, plain or gzipped, and sample sheets.
+"""FASTA, FASTQ and BAM reads, plain or gzipped, and sample sheets.
 
 Records are split by Spark's text source with a record separator, so plain
 files are read in parallel pieces and gzipped ones file by file.
@@ -12,39 +12,76 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignments import keep_alignments, read_bam
+
 #: Characters that a sample sheet's line can't hold.
 FORBIDDEN = "<>{},[]"
 FASTQ_NAME = re.compile(r"\.(fastq|fq)(\.gz)?$", re.IGNORECASE)
 
 
+def _fasta(pieces: DataFrame, *keep: str) -> DataFrame:
+    records = pieces.select(*keep, F.split(F.regexp_replace(F.regexp_replace("value", r"^>", ""), "\r", ""), "\n", 2).alias("r"))
+    out = records.select(*keep, F.substring_index(F.col("r")[0], " ", 1).alias("read_id"), F.regexp_replace(F.coalesce(F.get("r", F.lit(1)), F.lit("")), r"\s", "").alias("seq"))
+    return out.where("seq <> ''")
+
+
+def _fastq(pieces: DataFrame, *keep: str) -> DataFrame:
+    # a piece of one line is the rest of a quality line that starts with @
+    records = pieces.select(*keep, F.split(F.regexp_replace(F.regexp_replace("value", r"^@|\s+$", ""), "\r", ""), "\n").alias("r")).where(F.size("r") > 1)
+    wrong = ~F.startswith(F.coalesce(F.get("r", F.lit(2)), F.lit("")), F.lit("+"))
+    seq = F.when(wrong, F.raise_error(F.concat(F.lit("not a FASTQ record of four lines: "), F.substring(F.array_join("r", "|"), 1, 80)))).otherwise(F.get("r", F.lit(1)))
+    return records.select(*keep, F.substring_index(F.get("r", F.lit(0)), " ", 1).alias("read_id"), seq.alias("seq")).where("seq <> ''")
+
+
 def read_fasta(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(read_id, seq) of FASTA files; sequences may span lines."""
-    value = F.regexp_replace("value", r"^>", "")
-    records = spark.read.option("lineSep", "\n>").text(paths).select(F.split(F.regexp_replace(value, "\r", ""), "\n", 2).alias("r"))
-    out = records.select(F.substring_index(F.col("r")[0], " ", 1).alias("read_id"), F.regexp_replace(F.coalesce(F.get("r", F.lit(1)), F.lit("")), r"\s", "").alias("seq"))
-    return out.where("seq <> ''")
+    return _fasta(spark.read.option("lineSep", "\n>").text(paths))
 
 
 def read_fastq(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(read_id, seq) of FASTQ files of four lines a record with a bare + line.
+    """(read_id, seq) of FASTQ files of four lines a record, whatever stands behind the plus; other layouts are an error.
 
-    Split at that line, a piece ends with a record's name and sequence,
-    whatever characters the quality line before them starts with.
+    Pieces start where a line starts with @: a record, or what a quality line
+    that starts so leaves behind.
     """
-    pieces = spark.read.option("lineSep", "\n+\n").text(paths).select(F.split(F.regexp_replace("value", "\r", ""), "\n").alias("r"))
-    n = F.size("r")
-    named = pieces.where(n >= 2).select(F.get("r", n - 2).alias("name"), F.get("r", n - 1).alias("seq"))
-    return named.where(F.startswith("name", F.lit("@")) & (F.col("seq") != "")).select(F.substring_index(F.substring("name", 2, 1 << 30), " ", 1).alias("read_id"), "seq")
+    return _fastq(spark.read.option("lineSep", "\n@").text(paths))
+
 
+def kind_of(path: str) -> str:
+    return "bam" if path.lower().endswith(".bam") else "fastq" if FASTQ_NAME.search(path) else "fasta"
 
-def read_sequences(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Reads of files of either kind, told apart by name."""
-    fastq = [p for p in paths if FASTQ_NAME.search(p)]
-    fasta = [p for p in paths if not FASTQ_NAME.search(p)]
-    parts = ([read_fastq(spark, fastq)] if fastq else []) + ([read_fasta(spark, fasta)] if fasta else [])
+
+def _read_kinds(spark: SparkSession, paths: list[str], with_path: bool, alignment_filter: dict) -> DataFrame:
+    """Reads of files of any kind, one scan for each kind."""
+    keep = [F.col("_metadata.file_path").alias("path")] if with_path else []
+    own = ["path"] if with_path else []
+    parts = []
+    for kind, mark, parse in (("fasta", "\n>", _fasta), ("fastq", "\n@", _fastq)):
+        if some := [p for p in paths if kind_of(p) == kind]:
+            parts.append(parse(spark.read.option("lineSep", mark).text(some).select(*keep, "value"), *own))
+    if some := [p for p in paths if kind_of(p) == "bam"]:
+        parts.append(keep_alignments(read_bam(spark, some), **alignment_filter).select(*own, "read_id", "seq").where("seq <> ''"))
     return reduce(DataFrame.unionByName, parts)
 
 
+def read_sequences(spark: SparkSession, paths: list[str], **alignment_filter) -> DataFrame:
+    """Reads of FASTA, FASTQ and BAM files, told apart by name. alignment_filter: see `keep_alignments`."""
+    return _read_kinds(spark, paths, False, alignment_filter)
+
+
+def _files(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """(path, name in the metadata of its rows) of the files that a path, a pattern or a folder stands for."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = []
+    for found in fs.globStatus(p) or []:
+        files = fs.listStatus(found.getPath()) if found.isDirectory() else [found]
+        out += [(x.getPath().toString(), re.sub("^file:/+", "file:/", x.getPath().toUri().toString())) for x in files]
+    if not out:
+        raise FileNotFoundError(path)
+    return out
+
+
 def parse_sheet(lines: list[str]) -> list[tuple[int, str, list[str], int]]:
     """(number, sample, paths, own hard minimum or 0) of lines `sample : path ; path ! minimum`, in order."""
     out, seen = [], set()
@@ -68,10 +105,12 @@ def read_sheet(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, "sample_idx int, sample string, paths array<string>, min_abund int")
 
 
-def read_samples(spark: SparkSession, sheet: DataFrame) -> DataFrame:
-    """(sample, read_id, seq) of all files of a sheet."""
-    parts = [read_sequences(spark, list(r["paths"])).select(F.lit(r["sample"]).alias("sample"), "read_id", "seq") for r in sheet.orderBy("sample_idx").collect()]
-    return reduce(DataFrame.unionByName, parts)
+def read_samples(spark: SparkSession, sheet: DataFrame, **alignment_filter) -> DataFrame:
+    """(sample, read_id, seq) of all files of a sheet, in one scan for each kind of file. alignment_filter: see `keep_alignments`."""
+    listed = [(r["sample"], *f) for r in sheet.orderBy("sample_idx").collect() for p in r["paths"] for f in _files(spark, p)]
+    owner = spark.createDataFrame([(s, name) for s, _, name in listed], "sample string, path string")  # a row for each file of the sheet
+    found = _read_kinds(spark, sorted({path for _, path, _ in listed}), True, alignment_filter)
+    return found.join(F.broadcast(owner), "path").select("sample", "read_id", "seq")
 
 
 def read_thresholds(spark: SparkSession, path: str, n: int) -> list[int]:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 #: Text held together in one Python group, in characters.
 CHUNK_CHARS = 12_000_000
@@ -22,10 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a temporary one only where none is set (tests, one machine)."""
+    """The shared folder named in spark.checkpoint.dir. Where none is set, a temporary one on this machine: for one machine only, an error on a cluster."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    master = spark.sparkContext.master
+    if not re.match(r"local(\[|$)", master):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that driver and executors share ({master})")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="kmerloom-")
@@ -38,15 +43,28 @@ def spill(df: DataFrame, tag: str) -> DataFrame:
     path = f"{scratch_dir(spark)}/kmerloom-{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _spilled.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kmerloom_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def drop(*spilled: DataFrame) -> None:
+    """Deletes tables that `spill` gave and that nothing reads any more."""
+    for df in spilled:
+        spark, path = df.sparkSession, df._kmerloom_path
+        _spilled[spark.sparkContext.applicationId].remove(path)
+        _delete(spark, path)
 
 
 def clear(spark: SparkSession) -> None:
-    """Deletes what `spill` wrote in this application. Results that still read it must be written first."""
-    jvm = spark.sparkContext._jvm
+    """Deletes all that `spill` wrote in this application. Results that still read it must be written first."""
     for path in _spilled.pop(spark.sparkContext.applicationId, []):
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(spark, path)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -57,15 +75,35 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def chunk_count(docs: DataFrame, chars: int = CHUNK_CHARS, least: int = 1_000_000) -> int:
-    """As many chunks as keep each near `chars` characters; grows with the corpus. A small corpus is still dealt to all partitions, `least` characters each."""
-    total = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    return max(1, -(-total // chars), min(partitions(docs.sparkSession), total // least))
-
+def in_chunks(docs: DataFrame, chars: int = CHUNK_CHARS, least: int = 1_000_000) -> tuple[DataFrame, bool]:
+    """(doc_id, text, times, chunk) and whether some times is over 1.
 
-def chunk_of(n: int) -> Column:
-    """A chunk number from the row's content, so that every pass over the table deals rows alike."""
-    return F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")
+    As many chunks as keep each near `chars` characters, so their number grows
+    with the corpus; a small corpus is still dealt to all partitions, `least`
+    characters each. The chunk follows from the row's content, so that every
+    pass over the table deals rows alike. Equal rows that together are longer
+    than a chunk become one row that counts `times`, by an aggregation that
+    adds up ahead of its shuffle; there are no more such rows than chunks.
+    """
+    row = F.xxhash64("doc_id", "text")
+    sizes = docs.select(row.alias("row"), F.length("text").alias("n")).groupBy("row").agg(F.sum("n").alias("n"), F.count("*").alias("times"))
+    hot = sizes.where((F.col("n") > chars) & (F.col("times") > 1)).select("row")
+    total, some = sizes.agg(F.sum("n"), F.count_if((F.col("n") > chars) & (F.col("times") > 1))).first()
+    total = total or 0
+    n = max(1, -(-total // chars), min(partitions(docs.sparkSession), total // least))
+    docs = docs.select("doc_id", "text")
+    if some:
+        keyed = docs.withColumn("row", row)
+        few = keyed.join(F.broadcast(hot), "row", "left_semi").groupBy("doc_id", "text").agg(F.count("*").alias("times"))
+        docs = keyed.join(F.broadcast(hot), "row", "left_anti").select("doc_id", "text", F.lit(1).cast("bigint").alias("times")).unionByName(few)
+    else:
+        docs = docs.withColumn("times", F.lit(1).cast("bigint"))
+    return docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")), bool(some)
+
+
+def unfolded(df: DataFrame) -> DataFrame:
+    """Every row as often as its column times says; without that column."""
+    return df.withColumn("times", F.explode(F.sequence(F.lit(1).cast("bigint"), "times"))).drop("times")
 
 
 def remainder(modulus: int) -> Column:
@@ -73,36 +111,62 @@ def remainder(modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def repeated(pairs: DataFrame, key: str = "h") -> DataFrame:
-    """(chunk, key) of every key met more than once over all rows of (key, chunk, many).
+def repeated(pairs: DataFrame, check: str | None = None) -> DataFrame:
+    """(h, chunk) of every key met more than once over all rows of (h, chunk, many).
 
-    `many` marks a row that stands for several places of its chunk. Rows are
-    dealt and sorted by key and compared with their neighbours in a stream, so
-    that a key of any number of rows needs no more memory than a batch.
+    `many` marks a row that stands for several places of its chunk; check names
+    a second column that equal keys must share. Rows are dealt by h, sorted
+    and compared with their neighbours in a stream, so that a key of any number
+    of rows needs no more memory than a batch.
     """
+    keys = ["h", *([check] if check else [])]
 
     def neighbours(batches):
-        last = None  # (key, chunk, many, known to be repeated)
+        last = None  # key columns, chunk and many of a row that waits for the next one
         for b in batches:
-            k = b.column(0).to_numpy(zero_copy_only=False)
-            c = b.column(1).to_numpy(zero_copy_only=False)
-            m = b.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            if not len(k):
+            if not b.num_rows:
                 continue
+            cols = [b.column(k).to_numpy(zero_copy_only=False) for k in range(len(keys) + 2)]
             if last is not None:
-                k = np.concatenate([[last[0]], k])
-                c = np.concatenate([[last[1]], c]).astype(np.int32)
-                m = np.concatenate([[last[2]], m])
-            same = k[1:] == k[:-1]
+                cols = [np.concatenate([[x], c]).astype(c.dtype) for x, c in zip(last, cols, strict=True)]
+            *k, c, m = cols
+            m = m.astype(bool)
+            same = np.logical_and.reduce([x[1:] == x[:-1] for x in k])
             hit = m.copy()
             hit[1:] |= same
             hit[:-1] |= same
-            # the last row waits for the next batch; marked if an equal one came before
-            last = (k[-1], c[-1], bool(hit[-1]))
+            # the last row waits; marked if an equal one came before
+            last = [*(x[-1] for x in k), c[-1], bool(hit[-1])]
             hit[-1] = False
-            yield pa.RecordBatch.from_arrays([pa.array(k[hit], pa.int64()), pa.array(c[hit], pa.int32())], ["h", "chunk"])
-        if last is not None and last[2]:
-            yield pa.RecordBatch.from_arrays([pa.array([last[0]], pa.int64()), pa.array([last[1]], pa.int32())], ["h", "chunk"])
+            yield pa.RecordBatch.from_arrays([pa.array(k[0][hit], pa.int64()), pa.array(c[hit], pa.int32())], ["h", "chunk"])
+        if last is not None and last[-1]:
+            yield pa.RecordBatch.from_arrays([pa.array([last[0]], pa.int64()), pa.array([last[-2]], pa.int32())], ["h", "chunk"])
 
-    dealt = pairs.select(F.col(key).alias("h"), "chunk", "many").repartition(partitions(pairs.sparkSession), "h").sortWithinPartitions("h")
+    dealt = pairs.select(*keys, "chunk", "many").repartition(partitions(pairs.sparkSession), "h").sortWithinPartitions(*keys)
     return dealt.mapInArrow(neighbours, "h long, chunk int")
+
+
+def sampled(rows: DataFrame, by: str, totals: dict, most: int, chars: int, seed: str) -> DataFrame:
+    """(doc_id, row, <by>) of at most `most` distinct rows for each value of a column in totals (value: rows of it), and of at most so many characters together.
+
+    rows: (doc_id, row, n, <by>), row being a hash of the text and n its
+    length. Equal rows count once, those of the least hashes come first, and a
+    text longer than an eighth of the characters is passed over. Hashes beyond
+    what `most` rows of a value need are left out ahead of any shuffle.
+    """
+    spark, low, top = rows.sparkSession, -(1 << 63), (1 << 63) - 1
+    below = [(k, min(top, low + int((1.3 * most + 200) / n * 2.0**64))) for k, n in totals.items() if n]
+    limit = spark.createDataFrame(below, StructType([rows.schema[by], StructField("below", LongType())]))  # a row for each value
+    marked = rows.withColumn("mark", F.xxhash64(F.lit(seed), "doc_id", "row")).join(F.broadcast(limit), by).where((F.col("mark") <= F.col("below")) & (F.col("n") <= chars // 8))
+    few = marked.groupBy("doc_id", "row").agg(F.min(by).alias(by), F.min("n").alias("n"), F.min("mark").alias("mark"))
+    w = Window.partitionBy(by).orderBy("mark", "doc_id", "row")
+    first = few.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
+    return first.withColumn("sum", F.sum("n").over(w)).where(F.col("sum") <= chars).select("doc_id", "row", by)
+
+
+def one_text_each(docs: DataFrame, chosen: DataFrame, by: str) -> DataFrame:
+    """(row, doc_id, text, <by>) of the rows that `sampled` chose, each once."""
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("row"))
+    same = F.expr("doc_id <=> doc_id_ AND row = row_")
+    held = F.broadcast(chosen.select(F.col("doc_id").alias("doc_id_"), F.col("row").alias("row_"), by))  # bounded by its parameters
+    return keyed.join(held, same).groupBy("row", "doc_id").agg(F.first("text").alias("text"), F.first(by).alias(by))

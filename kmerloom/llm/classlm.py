@@ -11,9 +11,9 @@ smoothed towards class frequencies.
    together) are counted, and these words are exchanged between classes as long
    as the likelihood of the class bigrams rises.
 3. Every other word is put in by the same criterion: texts are dealt into
-   chunks, each chunk gives the classes left and right of its words, these are
-   brought together by word, and the word goes to the class that its
-   neighbours make likeliest.
+   chunks, each chunk counts the classes left and right of its words, the counts
+   are added up by word, and the word goes to the class that its neighbours make
+   likeliest. It is put in once, and not exchanged again.
 4. The class and count of each word go back to the chunks that hold it; texts
    become sequences of classes and counts, and class transitions are counted
    over all learning texts.
@@ -21,12 +21,16 @@ smoothed towards class frequencies.
 
 Counts of words, contexts and transitions cover all learning documents. No
 vocabulary is broadcast: a chunk gets the entries of its own words, so memory
-is bounded by the chunk. The driver sees the counts of frequent words and the
-class matrix, both of fixed size.
+is bounded by the chunk. A word in all chunks is one row of at most twice as
+many counts as there are classes from each, which are added up in a stream. The
+driver sees the counts of frequent words and the class matrix, both of fixed
+size.
 
 Defined results: a null text is an empty one, whose only token is the end; a
 null doc_id counts as the empty text for the fold and stays null; repeated
-rows count as often as they come; without learning documents the base
+rows count as often as they come; texts of any length are scored whole; of
+words equally frequent the first in order of bytes is among the `FREQUENT`, of
+equally likely classes the first is taken; without learning documents the base
 probability of every token is 1 and the score is that of an unknown token; an
 empty table gives no rows; other columns are ignored.
 """
@@ -52,6 +56,8 @@ ADD = 0.1
 PRIOR = 5.0
 #: Words that a task counts before it hands them on.
 HELD = 400_000
+#: The most that one entry of a word's contexts counts.
+MOST_COUNT = (1 << 24) - 1
 
 
 def words(text: str | None) -> list[bytes]:
@@ -172,16 +178,16 @@ def affinities(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def score_texts(docs: DataFrame, held_out: int = 10, frequent: int = FREQUENT, n_classes: int = CLASSES, mix: float = MIX) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
-    n_chunks = U.chunk_count(docs)
-    docs = docs.select("doc_id", "text", (U.remainder(held_out) == 0).alias("held_out"), U.chunk_of(n_chunks).alias("chunk"))
-    learn = docs.where(~F.col("held_out"))
-    counts = U.spill(word_counts(learn), "words")
+    texts = docs.where(U.remainder(held_out) != 0).select("text")
+    docs, folded = U.in_chunks(docs)
+    docs = docs.select("doc_id", "text", "times", "chunk", (U.remainder(held_out) == 0).alias("held_out"))
+    counts = U.spill(word_counts(texts), "words")
     n_words, distinct, once = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_if(F.col("n") == 1)).first()
-    n_docs = learn.count()
+    n_docs = texts.count()
     total, v = n_words + n_docs, distinct + (n_docs > 0)
     top = counts.orderBy(F.desc("n"), "word").limit(frequent).collect()
     top_words = [bytes(r[0]) for r in top]
-    classes, between = exchange(frequent_bigrams(learn, top_words), n_classes)
+    classes, between = exchange(frequent_bigrams(texts, top_words), n_classes)
     size = between.shape[0]
     other, end = size - 2, size - 1
     n_cls = other
@@ -190,65 +196,98 @@ def score_texts(docs: DataFrame, held_out: int = 10, frequent: int = FREQUENT, n
     by_left, by_right = affinities(between)
 
     def contexts(t):
-        """Of every word of the chunk but the frequent ones: the classes around it in learning texts, a pair of bytes each time."""
+        """Of every word of the chunk but the frequent ones: how often each class stands left (number c) and right (size + c) of it in learning texts."""
         number = defaultdict(count().__next__)
-        runs = [np.array([-1], np.int32)]  # texts to learn from, with -1 at every end
-        for text, held in zip(t.column("text"), t.column("held_out").to_pylist(), strict=True):
+        runs, times = [np.array([-1], np.int32)], [1]  # texts to learn from, with -1 at every end
+        for text, held, n in zip(t.column("text"), t.column("held_out").to_pylist(), t.column("times").to_pylist(), strict=True):
             w = words(text.as_py())
             k = np.fromiter(map(number.__getitem__, w), np.int32, len(w))
             if not held:
                 runs += [k, runs[0]]
+                times.append(n)
         names, k = list(number), np.concatenate(runs)
         class_at = np.array([*map(class_of.get, names, repeat(other)), end], np.uint8)
         c = class_at[k]
         rare = np.flatnonzero((c == other) & (k >= 0))
-        rare = rare[np.argsort(k[rare], kind="stable")]
-        around = np.column_stack([c[rare - 1], c[rare + 1]])
-        n = np.bincount(k[rare], minlength=len(names))
+        key = np.concatenate([k[rare] * np.int64(2 * size) + c[rare - 1], k[rare] * np.int64(2 * size) + size + c[rare + 1]])
+        if max(times) > 1:
+            weight = np.repeat(times, [1, *(len(x) + 1 for x in runs[1::2])])[rare]
+            key, at = np.unique(key, return_inverse=True)
+            n = np.bincount(at, np.concatenate([weight, weight])).astype(np.int64)
+        else:
+            key, n = np.unique(key, return_counts=True)
+        word, slot = key // (2 * size), key % (2 * size)
+        once = n == 1
+        many = np.flatnonzero(~once)
+        pieces = -(-n[many] // MOST_COUNT)  # counts of more than 24 bits come in several
+        many = np.repeat(many, pieces)
+        last = np.cumsum(pieces) - 1
+        part = np.full(len(many), MOST_COUNT)
+        part[last] = n[many[last]] - (pieces - 1) * MOST_COUNT
+        packed = (slot[many] << 24 | part).astype(np.uint32)
         keep = class_at[:-1] == other
-        offsets = np.concatenate([[0], np.cumsum(2 * n)]).astype(np.int32)
-        codes = pa.Array.from_buffers(pa.binary(), len(names), [None, pa.py_buffer(offsets), pa.py_buffer(around.tobytes())])
-        mask = pa.array(keep, pa.bool_())
+        lists = lambda of, width, data: pa.Array.from_buffers(pa.binary(), len(names), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(names)) * width)]).astype(np.int32)), pa.py_buffer(data.tobytes())])
         chunk = pa.array(np.full(len(names), t.column("chunk")[0].as_py(), np.int32))
-        return pa.table({"word": pa.array(names, pa.binary()), "chunk": chunk, "codes": codes}).filter(mask)
+        columns = {"word": pa.array(names, pa.binary()), "chunk": chunk, "once": lists(word[once], 1, slot[once].astype(np.uint8)), "many": lists(word[many], 4, packed)}
+        return pa.table(columns).filter(pa.array(keep, pa.bool_()))
 
     def assign(batches):
-        """Count and class of each word, for each chunk that holds it; rows come in order of words."""
+        """Count and class of each word, for each chunk that holds it; rows come in order of words.
+
+        Of a word that goes on in the next batch, its counts so far and the numbers of its chunks are kept.
+        """
+        names = ["word", "chunk", "n", "cls"]
+
+        def flat(column, kind):
+            column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+            offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+            data = column.buffers()[2]
+            values = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].view(kind) if data is not None and offsets[-1] > offsets[0] else np.zeros(0, kind)
+            return values, np.diff(offsets) // np.dtype(kind).itemsize
+
+        def rows(words_, chunks, which, total):
+            left = total[:, :size].sum(axis=1)
+            cls = np.argmax(total[:, :size] @ by_left + total[:, size:] @ by_right, axis=1).astype(np.int32) if n_cls else np.zeros(len(total), np.int32)
+            known = left[which] > 0
+            out = pa.RecordBatch.from_arrays([words_, chunks, pa.array(left[which].astype(np.int64)), pa.array(cls[which])], names)
+            return out.filter(pa.array(known))
+
+        held_word, held_total, held_chunks = None, None, []
+
+        def release():
+            chunks = np.concatenate(held_chunks)
+            for k in range(0, len(chunks), 100_000):
+                part = chunks[k : k + 100_000]
+                yield rows(pa.array([held_word] * len(part), pa.binary()), pa.array(part), np.zeros(len(part), np.int64), held_total[None])
 
-        def done(rows):
-            w = rows.column("word")
-            py = w.to_pylist()
-            new = np.array([True, *(a != b for a, b in zip(py, py[1:], strict=False))])
-            run = np.cumsum(new) - 1
-            codes = rows.column("codes").combine_chunks()
-            offsets = np.frombuffer(codes.buffers()[1], np.int32)[codes.offset : codes.offset + len(codes) + 1]
-            data = codes.buffers()[2]
-            flat = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].reshape(-1, 2).astype(np.int64) if data is not None else np.zeros((0, 2), np.int64)
-            of_pair = np.repeat(run, np.diff(offsets) // 2)
-            n_runs = int(run[-1]) + 1
-            left = np.bincount(of_pair * size + flat[:, 0], minlength=n_runs * size).reshape(n_runs, size)
-            right = np.bincount(of_pair * size + flat[:, 1], minlength=n_runs * size).reshape(n_runs, size)
-            cls = np.argmax(left @ by_left + right @ by_right, axis=1).astype(np.int32) if n_cls else np.zeros(n_runs, np.int32)
-            n = left.sum(axis=1)
-            known = n[run] > 0
-            out = pa.table({"word": w, "chunk": rows.column("chunk"), "n": pa.array(n[run]), "cls": pa.array(cls[run])}).filter(pa.array(known))
-            yield from out.to_batches()
-
-        held = None
         for b in batches:
-            if not len(b):
+            if not b.num_rows:
                 continue
-            rows = pa.Table.from_batches([b])
-            rows = pa.concat_tables([held, rows]) if held is not None else rows
-            py = rows.column("word").to_pylist()
-            k = len(py) - 1
-            while k and py[k - 1] == py[-1]:
-                k -= 1
-            if k:
-                yield from done(rows.slice(0, k).combine_chunks())
-            held = rows.slice(k).combine_chunks()
-        if held is not None and len(held):
-            yield from done(held)
+            py = b.column(0).to_pylist()
+            new = np.array([True, *(x != y for x, y in zip(py, py[1:], strict=False))])
+            run = np.cumsum(new) - 1
+            n_runs = int(run[-1]) + 1
+            slots, n1 = flat(b.column(2), np.uint8)
+            packed, n2 = flat(b.column(3), np.uint32)
+            total = np.bincount(np.repeat(run, n1) * 2 * size + slots, minlength=n_runs * 2 * size).astype(float)
+            total += np.bincount(np.repeat(run, n2) * 2 * size + (packed >> 24), packed & 0xFFFFFF, minlength=n_runs * 2 * size)
+            total = total.reshape(n_runs, 2 * size)
+            chunks = b.column(1).to_numpy()
+            start = np.flatnonzero(new)
+            first = 0
+            if held_word is not None and py[0] == held_word:
+                held_total = held_total + total[0]
+                held_chunks.append(chunks[: start[1] if n_runs > 1 else None])
+                first = 1
+            if first < n_runs:  # the held word is whole; the batch's last one may go on
+                if held_word is not None:
+                    yield from release()
+                lo, hi = start[first], start[-1]
+                if hi > lo:
+                    yield rows(b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), run[lo:hi] - first, total[first:-1])
+                held_word, held_total, held_chunks = py[-1], total[-1], [chunks[hi:]]
+        if held_word is not None:
+            yield from release()
 
     def encode(left, right):
         """Texts as classes and counts, with base scores; and the chunk's class transitions (unknown words: class size)."""
@@ -268,22 +307,22 @@ def score_texts(docs: DataFrame, held_out: int = 10, frequent: int = FREQUENT, n
         k, start = np.concatenate(runs), np.concatenate([[0], np.cumsum(sizes)])
         n, c = n_of[k], c_of[k]
         before = np.concatenate([[end], c[:-1]])  # every text ends with the end, which comes before the next one's first token
-        held = np.repeat(left.column("held_out").to_numpy(), sizes)
-        moves = np.bincount(before[~held].astype(np.int64) * (size + 1) + c[~held], minlength=(size + 1) ** 2)
+        weight = np.repeat(np.where(left.column("held_out").to_numpy(), 0, left.column("times").to_numpy()), sizes)
+        moves = np.bincount(before.astype(np.int64) * (size + 1) + c, weight, minlength=(size + 1) ** 2).astype(np.int64)
         binary = lambda values, width: pa.concat_arrays([pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer((start * width).astype(np.int32)), pa.py_buffer(values)]), pa.nulls(1, pa.binary())])
         return pa.table({
             "doc_id": pa.array([*left.column("doc_id").to_pylist(), None], pa.int64()),
             "held_out": pa.array([*left.column("held_out").to_pylist(), None], pa.bool_()),
             "n_tokens": pa.array([*sizes, None], pa.int64()), "n_known": pa.array([*np.add.reduceat((n > 0).astype(np.int64), start[:-1]).tolist(), None], pa.int64()),
             "base_score": pa.array([*np.add.reduceat(base_of[k], start[:-1]).tolist(), None], pa.float64()),
-            "classes": binary(c.tobytes(), 1), "counts": binary(n.tobytes(), n.itemsize),
+            "times": pa.array([*left.column("times").to_pylist(), None], pa.int64()), "classes": binary(c.tobytes(), 1), "counts": binary(n.tobytes(), n.itemsize),
             "moves": pa.array([None] * len(sizes) + [moves.tolist()], pa.list_(pa.int64())),
         })
 
-    by_word = docs.groupBy("chunk").applyInArrow(contexts, "word binary, chunk int, codes binary")
+    by_word = docs.groupBy("chunk").applyInArrow(contexts, "word binary, chunk int, once binary, many binary")
     by_word = by_word.repartition(U.partitions(docs.sparkSession), "word").sortWithinPartitions("word")
     entries = by_word.mapInArrow(assign, "word binary, chunk int, n long, cls int")
-    encoded = docs.groupBy("chunk").cogroup(entries.groupBy("chunk")).applyInArrow(encode, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, classes binary, counts binary, moves array<long>")
+    encoded = docs.groupBy("chunk").cogroup(entries.groupBy("chunk")).applyInArrow(encode, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, times long, classes binary, counts binary, moves array<long>")
     encoded = U.spill(encoded, "encoded")
 
     moves = np.zeros((size + 1) ** 2)
@@ -301,16 +340,17 @@ def score_texts(docs: DataFrame, held_out: int = 10, frequent: int = FREQUENT, n
     def finish(batches):
         for b in batches:
             out = []
-            for c, n in zip(b.column(5), b.column(6), strict=True):
+            for c, n in zip(b.column(6), b.column(7), strict=True):
                 c = np.frombuffer(c.as_py(), np.uint8)
                 n = np.frombuffer(n.as_py(), np.int64 if wide else np.uint32).astype(float)
                 before = np.concatenate([[end], c[:-1]])
                 base = (n + ADD) / (total + ADD * (v + 1))
                 p = (1 - unseen) * (per_count[before, c] * n + (1 - mix) * base / max(seen, ADD))
                 out.append(float(np.log10(np.where(n > 0, p, unseen)).sum()))
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(4)), pa.array(np.full(len(b), total), pa.int64()), b.column(4), pa.array(out, pa.float64())], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(4)), pa.array(np.full(len(b), total), pa.int64()), b.column(4), pa.array(out, pa.float64()), b.column(5)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "times"])
 
-    return encoded.where("moves IS NULL").drop("moves").mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    scored = encoded.where("moves IS NULL").drop("moves").mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, times long")
+    return U.unfolded(scored) if folded else scored.drop("times")
 
 
 def op3_class_exchange_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,9 +4,11 @@ Texts are lower-cased, each run of characters other than letters becomes a
 space, and the n-grams of orders 1 to 3 are hashed to `FEATURES` slots. Term
 frequency is a slot's share of the text's n-grams; document frequencies are
 counted over all learning documents. Weights come from
-follow-the-regularised-leader with elastic-net penalties on at most
-`PER_LANGUAGE` documents of each language (those of the least hashes), a fifth
-of which is kept apart to calibrate the temperature of the softmax.
+follow-the-regularised-leader with elastic-net penalties on a bounded sample:
+of each of the `LANGUAGES` most frequent languages at most `PER_LANGUAGE`
+distinct rows (those of the least hashes; all together `SAMPLE` at most) and at
+most `CHARS` characters. A fifth of it is kept apart to calibrate the
+temperature of the softmax.
 
 Every text is read whole, in Arrow batches; only the sums over slots and the
 bounded sample leave their tasks.
@@ -14,12 +16,15 @@ bounded sample leave their tasks.
 Defined results: `und` with score 0 for a null text or one without a letter,
 and for every text if there is nothing to learn from; a null lang is not
 learnt from; a null doc_id stays null (its remainder is that of the empty
-text); repeated rows give equal rows; an empty table gives no rows; other
-columns are ignored.
+text); repeated rows give equal rows and are learnt from once; of languages
+alike in probability the first in order is predicted; texts of any length are
+read whole, in blocks; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,7 +35,7 @@ from . import _util as U
 
 FEATURES = 1 << 16
 ORDERS = (1, 2, 3)
-PER_LANGUAGE = 2000
+PER_LANGUAGE, SAMPLE, LANGUAGES, CHARS = 2000, 16_000, 200, 16_000_000
 SCALE = 100.0
 #: Characters worked on at once.
 BLOCK = 400_000
@@ -98,54 +103,68 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return df[:-1], int(df[-1])
 
 
-def sample(learn: DataFrame, per_language: int) -> tuple[list[str], np.ndarray, L.Rows]:
-    """Languages, and the language number and features of the sampled documents."""
-    mark = F.xxhash64(F.lit("langid"), "doc_id")
-    counts = learn.groupBy("lang").count()
-    # the share of each language under which the bound is expected to be met
-    share = F.broadcast(counts.select("lang", (F.lit(per_language) / F.col("count")).alias("share")))
-    chosen = learn.join(share, "lang").where((F.pmod(mark, F.lit(1 << 30)) / F.lit(float(1 << 30))) < F.col("share")).select("lang", "text", F.pmod(F.xxhash64(F.lit("apart"), "doc_id"), F.lit(5)).alias("fold"))
+def sample(learn: DataFrame, per_language: int) -> tuple[list[str], np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Languages, and the language number, fold, slots and counts of each sampled row."""
+    learn = learn.select("doc_id", "text", "lang", F.xxhash64("text").alias("row"))
+    totals = dict(learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect())
+    each = max(1, min(per_language, SAMPLE // max(1, len(totals))))
+    chosen = U.sampled(learn.select("doc_id", "row", F.length("text").alias("n"), "lang"), "lang", totals, each, CHARS, "langid")
+    texts = U.one_text_each(learn, chosen, "lang").select("doc_id", "row", "lang", "text", F.pmod(F.xxhash64(F.lit("apart"), "doc_id", "row"), F.lit(5)).alias("fold"))
 
     def run(batches):
         grams = Grams()
         for b in batches:
-            langs, folds, slots, n = [], [], [], []
-            for lang, text, fold in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                c = grams.codes(text or "")
+            keep, slots, n = [], [], []
+            for k, text in enumerate(b.column(3)):
+                c = grams.codes(text.as_py() or "")
                 if len(c):
-                    s, k = np.unique(grams.slots(c), return_counts=True)
-                    langs.append(lang)
-                    folds.append(fold)
+                    s, times = np.unique(grams.slots(c), return_counts=True)
+                    keep.append(k)
                     slots.append(s.astype(np.int32))
-                    n.append(k.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(folds, pa.int64()), pa.array(slots, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.int32()))], ["lang", "fold", "slots", "n"])
-
-    got = chosen.mapInArrow(run, "lang string, fold long, slots array<int>, n array<int>").toArrow()
-    langs = sorted(set(got.column("lang").to_pylist()))
-    y = np.array([langs.index(x) for x in got.column("lang").to_pylist()], np.int64)
+                    n.append(times.astype(np.int32))
+            kept = b.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), kept.column(2), kept.column(4), pa.array(slots, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.int32()))], ["doc_id", "row", "lang", "fold", "slots", "n"])
+
+    got = texts.mapInArrow(run, "doc_id long, row long, lang string, fold long, slots array<int>, n array<int>").toArrow()
+    got = got.sort_by([("lang", "ascending"), ("row", "ascending"), ("doc_id", "ascending")])  # not by arrival
+    names = got.column("lang").to_pylist()
+    langs = sorted(set(names))
+    y = np.array([langs.index(x) for x in names], np.int64)
     rows = [got.column(k).combine_chunks() for k in ("slots", "n")]
     slots, n = ([x.values.to_numpy()[a:b] for a, b in zip(x.offsets.to_numpy()[:-1], x.offsets.to_numpy()[1:], strict=True)] for x in rows) if len(y) else ([], [])
-    return langs, y, np.array(got.column("fold").to_pylist(), np.int64), slots, n
+    return langs, y, got.column("fold").to_numpy(), slots, n
 
 
-def identify(docs: DataFrame, learn: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """doc_id, lang_pred and score of docs, by a model of learn (doc_id, text, lang)."""
+class Model(NamedTuple):
+    """Languages, what each slot's share of a text adds to their logits, and what is added to all."""
+
+    langs: list[str]
+    per_gram: np.ndarray
+    bias: np.ndarray
+
+
+def fit(learn: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
+    """A model of (doc_id, text, lang)."""
     learn = learn.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
     df, n_docs = document_frequencies(learn)
     idf = np.log((1 + n_docs) / (1 + df)) + 1
     langs, y, fold, slots, n = sample(learn, per_language)
-    order = np.lexsort((np.array([int(k.sum()) for k in n], np.int64), y)) if len(y) else np.zeros(0, np.int64)  # not by arrival
-    y, fold, slots, n = y[order], fold[order], [slots[i] for i in order], [n[i] for i in order]
+    if not langs:
+        return Model([], np.zeros((FEATURES, 0), np.float32), np.zeros(0))
     x = L.Rows(slots, [SCALE * k / k.sum() * idf[s] for s, k in zip(slots, n, strict=True)])
-    fit, apart = np.flatnonzero(fold != 0), np.flatnonzero(fold == 0)
-    if not len(fit):
-        fit, apart = np.arange(len(y)), np.zeros(0, np.int64)
-    if len(langs):
-        part = L.Rows([x.features[x.start[i] : x.start[i + 1]] for i in fit], [x.values[x.start[i] : x.start[i + 1]] for i in fit])
-        w, bias = L.fit_softmax(part, y[fit], FEATURES, len(langs))
-        row, f, v = x.take(apart)
-        t = L.temperature(L.products(row, v, w[f], len(apart)) + bias, y[apart]) if len(langs) > 1 else 1.0
-        per_gram, bias = (SCALE * w * idf[:, None] / t).astype(np.float32), bias / t
+    own, apart = np.flatnonzero(fold != 0), np.flatnonzero(fold == 0)
+    if not len(own):
+        own, apart = np.arange(len(y)), np.zeros(0, np.int64)
+    part = L.Rows([x.features[x.start[i] : x.start[i + 1]] for i in own], [x.values[x.start[i] : x.start[i + 1]] for i in own])
+    w, bias = L.fit_softmax(part, y[own], FEATURES, len(langs))
+    row, f, v = x.take(apart)
+    t = L.temperature(L.products(row, v, w[f], len(apart)) + bias, y[apart]) if len(langs) > 1 else 1.0
+    return Model(langs, (SCALE * w * idf[:, None] / t).astype(np.float32), bias / t)
+
+
+def predict(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, lang_pred and score of docs."""
+    langs, per_gram, bias = model
 
     def run(batches):
         grams = Grams()
@@ -169,6 +188,11 @@ def identify(docs: DataFrame, learn: DataFrame, per_language: int = PER_LANGUAGE
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def identify(docs: DataFrame, learn: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
+    """doc_id, lang_pred and score of docs, by a model of learn (doc_id, text, lang)."""
+    return predict(docs, fit(learn, per_language))
+
+
 def op5_ftrl_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = U.table(spark, sf_dir, "documents")
     found = identify(docs, docs.where(U.remainder(5) != 0))

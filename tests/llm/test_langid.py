@@ -32,6 +32,43 @@ def test_held_out_accuracy(spark):
     assert all(0 <= s <= 1 for _, s in of.values())
 
 
+def slow_slots(text):
+    """Slots of all n-grams, one by one."""
+    t = "".join(c if c.isalpha() else " " for c in text.lower())
+    t = " " + " ".join(t.split()) + " "
+    out = []
+    for n in langid.ORDERS:
+        for i in range(len(t) - n + 1):
+            h = 0
+            for j in range(n):
+                h = (h * 0x9E3779B1 + ord(t[i + j]) + j + 1) & 0xFFFFFFFFFFFF
+            x = h * 0x2545F491 & 0xFFFFFFFFFFFFFFFF
+            x = x - (1 << 64) if x >> 63 else x
+            out.append(((x >> 20) ^ (x >> 37)) & (langid.FEATURES - 1))
+    return out
+
+
+def test_scores_are_those_of_the_model(spark):
+    """Every score, by plain Python from the model's weights."""
+    rows = corpus(60) + [(500, "Mixed UPPER kato-miru! " * 40, None), (501, "字 𝒳", None)]
+    docs = table(spark, rows)
+    model = langid.fit(docs)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(docs, model).collect()}
+    for i, text, _ in rows:
+        s = slow_slots(text)
+        z = sum(model.per_gram[k].astype(float) for k in s) / len(s) + model.bias
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert got[i][0] == model.langs[int(p.argmax())] and got[i][1] == pytest.approx(p.max(), abs=1e-6)
+
+
+def test_sample_is_bounded(spark):
+    rows = [(i, t, x) for i, t, x in corpus(300)] + [(7, f"ka to mi {'ru' * (k % 9)}", "aa") for k in range(200)]
+    langs, y, fold, slots, n = langid.sample(table(spark, rows), 20)
+    assert langs == ["aa", "bb", "cc"] and np.bincount(y).tolist() == [20, 20, 20] and len(slots) == len(n) == len(fold) == 60
+    again = langid.sample(table(spark, rows).repartition(5), 20)
+    assert all((a == b).all() for a, b in zip(slots, again[3], strict=True))
+
+
 def test_blocks_lose_no_gram():
     g = langid.Grams()
     c = g.codes(H.prose(500, 1) + " é ß 字")

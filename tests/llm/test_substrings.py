@@ -36,12 +36,37 @@ def test_equals_brute_force(spark):
 
 
 def test_many_chunks(spark, monkeypatch):
-    monkeypatch.setattr(substrings.U, "chunk_count", lambda docs: 7)
+    real = substrings.U.in_chunks
+    monkeypatch.setattr(substrings.U, "in_chunks", lambda docs: real(docs, 9000))
     got = substrings.remove_repeats(H.documents(spark, rows()), render="sha256").collect()
     want = [(i, n, m, hashlib.sha256(k.encode()).hexdigest()) for i, n, m, k in slow(rows())]
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
+def test_rows_repeated_beyond_a_chunk(spark, monkeypatch):
+    """A row that fills chunks by itself becomes one that counts; its windows are repeated ones."""
+    real = substrings.U.in_chunks
+    monkeypatch.setattr(substrings.U, "in_chunks", lambda docs: real(docs, 1500))
+    many = rows() + [(200, H.prose(80, 77))] * 9 + [(201, H.prose(20, 78))] * 30
+    assert substrings.U.in_chunks(H.documents(spark, many))[1]
+    got = substrings.remove_repeats(H.documents(spark, many)).collect()
+    assert sorted(map(tuple, got), key=str) == slow(many)
+
+
+def test_very_long_text(spark):
+    text = H.prose(150_000, 5, 1_000_000)
+    w = text.split()
+    got = substrings.remove_repeats(H.documents(spark, [(1, text), (2, " ".join(w[70_000:70_040]))])).collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in got} == {1: (150_000, 40), 2: (40, 40)}
+
+
+def test_equal_first_hashes_do_not_make_windows_equal(spark):
+    h, check, many = substrings.once(np.array([5, 5, 5, 7, 7]), np.array([1, 2, 1, 3, 4], np.int32))
+    assert h.tolist() == [5, 5, 7, 7] and check.tolist() == [1, 2, 3, 4] and many.tolist() == [True, False, False, False]
+    rows = spark.createDataFrame([(5, 1, 0, False), (5, 2, 1, False), (7, 3, 2, False), (7, 3, 3, False)], "h long, check int, chunk int, many boolean")
+    assert sorted(map(tuple, substrings.U.repeated(rows, "check").collect())) == [(7, 2), (7, 3)]
+
+
 def test_cover_has_every_difference():
     d = substrings.COVER
     assert {(a - b) % substrings.PERIOD for a in d for b in d} == set(range(substrings.PERIOD))

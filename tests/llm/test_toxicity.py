@@ -32,7 +32,7 @@ def vectors(rows):
 
 
 def logit(model, text):
-    kept, w, bias = model
+    kept, w, bias = model[:3]
     of = dict(zip(kept.tolist(), w.tolist(), strict=True))
     return bias + sum(of.get(toxicity.number(k), 0.0) * v for k, v in features(words(text)).items())
 
@@ -63,6 +63,33 @@ def test_table(spark):
     assert got.columns == [*docs.drop("toxicity").columns, "toxicity"] and got.count() == docs.count()
 
 
+def test_scores_are_those_of_the_model(spark):
+    """Every score, by plain Python from the model's weights; very long, repeated and odd texts among them."""
+    rows = [(i, t) for i, t, _ in corpus(120)] + [(1000, "grubble " * 200_000), (1001, " ".join(f"vile{k}" for k in range(60_000))), *[(i if i is None else i + 2000, t) for i, t in H.ODD]]
+    docs = H.documents(spark, rows).select("doc_id", "text")
+    model = toxicity.learn(docs, spark.createDataFrame([(i, y) for i, _, y in corpus(120)], "doc_id long, toxic int"))
+    assert len(model.numbers) and model.rows == 120 and model.pairs == 2 * sum("muslims" in t for _, t, _ in corpus(120))
+    want = sorted((str(i), round(1 / (1 + np.exp(-logit(model, t))), 9)) for i, t in rows)
+    assert sorted((str(r["doc_id"]), round(r["toxicity"], 9)) for r in toxicity.score(docs, model).collect()) == want
+
+
+def test_sample_is_bounded_by_rows_and_characters(spark):
+    """One doc_id with many rows, copies, and long texts."""
+    rows = [(i % 3, H.prose(20, i, 50)) for i in range(400)] + [(1, "same copy")] * 50 + [(5, "x " * 9000)]
+    docs = H.documents(spark, rows).select("doc_id", "text")
+    labels = spark.createDataFrame([(0, 0), (1, 1), (2, 0), (5, 1)], "doc_id long, toxic int")
+    assert toxicity.learn(docs, labels, per_class=10).rows == 20
+    assert toxicity.learn(docs, labels).rows == 402
+    few = toxicity.learn(docs, labels, chars=3000)
+    assert 2 <= few.rows <= 2 * 3000 // 20
+    assert list(few.numbers) == list(toxicity.learn(docs.repartition(7), labels, chars=3000).numbers)
+
+
+def test_identity_terms_in_four_languages():
+    for a, b in (("die muslime kamen", "die christen kamen"), ("les femmes", "les garçons"), ("los judíos", "los hindúes"), ("THE WOMEN", "the boys")):
+        assert swapped(words(a), 1) == words(b)
+
+
 def test_one_class_or_none(spark):
     docs = H.documents(spark, [(1, "a"), (2, "b")]).select("doc_id", "text")
     only = spark.createDataFrame([(1, 0), (2, 0)], "doc_id long, toxic int")

@@ -1,5 +1,7 @@
 import os
 
+import pytest
+
 from kmerloom.llm import _util as U
 
 
@@ -12,6 +14,43 @@ def test_spilled_tables_go(spark):
     assert not os.path.exists(path)
 
 
+def test_dropped_tables_go_at_once(spark):
+    a, b = U.spill(spark.range(5).toDF("x"), "test"), U.spill(spark.range(6).toDF("x"), "test")
+    U.drop(a)
+    assert b.count() == 6 and len(U._spilled[spark.sparkContext.applicationId]) == 1
+    U.clear(spark)
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    """No folder of one machine is used where executors have other machines."""
+
+    class Session:
+        class conf:
+            get = staticmethod(lambda name, default: default)
+
+        class sparkContext:
+            applicationId = "app-on-a-cluster"
+
+    for master in ("spark://host:7077", "local-cluster[2,1,1024]", "yarn"):
+        Session.sparkContext.master = master
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            U.scratch_dir(Session)
+    Session.sparkContext.master = "local[4]"
+    assert U.scratch_dir(Session).startswith("file://")
+    Session.conf.get = staticmethod(lambda name, default: "hdfs://shared/folder")
+    assert U.scratch_dir(Session) == "hdfs://shared/folder"
+
+
+def test_rows_repeated_beyond_a_chunk_are_counted(spark):
+    rows = [(1, "word " * 20)] * 500 + [(i, f"text {i}") for i in range(50)] + [(None, None)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found, some = U.in_chunks(docs, chars=5000, least=100)
+    assert some and sorted(map(str, U.unfolded(found).select("doc_id", "text").collect())) == sorted(map(str, docs.collect()))
+    assert [r["times"] for r in found.where("times > 1").collect()] == [500]
+    plain, some = U.in_chunks(docs)
+    assert not some and plain.count() == len(rows)
+
+
 def test_repeated_keys_across_batches(spark):
     """A key of many rows, over batches of a few rows."""
     old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")

@@ -7,12 +7,13 @@ level that makes the sum of squared counts of partly filled windows least
 (ties: the fuller window), tracked in an array by level. At the end of a
 partition, or when more than `max_open` windows are open, the open windows
 are joined and cut into full ones, and what is left is cut at powers of two,
-which need no padding.
+which need no padding. How many tokens that takes depends on the size of the
+input's partitions: about a million tokens of each at most.
 
-Defined results: a null or empty text is one token (the end id); a null
-doc_id stays null; repeated rows are packed one by one; an empty table gives
-no rows; other columns are ignored. Sequence ids are unique over the table,
-not consecutive.
+Defined results: a null or empty text is one token (the end id); a text longer
+than windows fills several; a null doc_id stays null; repeated rows are packed
+one by one; an empty table gives no rows; other columns are ignored. Sequence
+ids are unique over the table, not consecutive.
 """
 
 from __future__ import annotations
@@ -20,8 +21,10 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
 import zlib
 from array import array
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +38,13 @@ WINDOW = 1024
 END_ID = 0
 MAX_OPEN = 4096
 #: Pieces of text of which a worker remembers the ids.
-MEMO = 700_000
+MEMO = 150_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _NEAR_SPACES = re.compile(r"\s\s|^\s|\s$")
 
 
-#: The pre-tokeniser pattern of byte-level vocabularies.
+#: The pre-tokeniser pattern of byte-level vocabularies, and (below) their alphabet.
 BYTE_LEVEL = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
 
@@ -190,17 +193,20 @@ class Packer:
         self.n_open = 0
 
 
+def encoder_of(path: str) -> PieceEncoder:
+    """The worker's encoder. This module itself is sent with each task, so it is kept in one that lives as long as the worker."""
+    held = sys.modules.setdefault("kmerloom_worker", ModuleType("kmerloom_worker")).__dict__
+    if ("encoder", path) not in held:
+        held["encoder", path] = PieceEncoder(path)
+    return held["encoder", path]
+
+
 def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID, max_open: int = MAX_OPEN) -> DataFrame:
     """Pieces of all documents with their place in sequences of at most `window` tokens."""
 
     def run(batches):
-        import pyspark
-
         packer = Packer(TaskContext.get().partitionId() << 40, window, max_open)
-        memo = pyspark.__dict__.setdefault("_kmerloom_encoders", {})  # lives as long as the worker
-        if tokenizer_path not in memo:
-            memo[tokenizer_path] = PieceEncoder(tokenizer_path)
-        encoder, end = memo[tokenizer_path], np.array([end_id], "<u4").tobytes()
+        encoder, end = encoder_of(tokenizer_path), np.array([end_id], "<u4").tobytes()
 
         def out():
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]

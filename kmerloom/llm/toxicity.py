@@ -251,10 +251,13 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, penalt
 def score(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
     """All columns of docs, with the score (double, 0 to 1) behind them under a name."""
     numbers, weights, bias = model[:3]
-    weight_of = dict(zip(numbers.tolist(), weights.tolist(), strict=True))
+    weight_of = dict(zip(numbers.view(np.uint64).tolist(), weights.tolist(), strict=True))
     at = docs.columns.index("text")
 
     def run(batches):
+        from xxhash import xxh64_intdigest
+
+        weight = weight_of.get
         seen: set[bytes] = set()  # words that were looked up, and of those with any weight it and that of their stems
         known: dict[bytes, tuple] = {}
         weighty: set[bytes] = set()
@@ -269,8 +272,8 @@ def score(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
                     weighty.clear()
                 new = distinct - seen
                 for w in new:
-                    stems = tuple((p, x) for p in parts(w) if (x := weight_of.get(number(p))))
-                    own = weight_of.get(number(w), 0.0)
+                    stems = [(p, x) for p in parts(w) if (x := weight(xxh64_intdigest(p)))]
+                    own = weight(xxh64_intdigest(w), 0.0)
                     if own or stems:
                         known[w] = own, stems
                         weighty.add(w)

@@ -1,8 +1,9 @@
 import random
 
+import numpy as np
 import pytest
 
-from kmerloom.llm import jaccard
+from kmerloom.llm import jaccard, simhash
 
 from . import helpers as H
 
@@ -44,14 +45,52 @@ def case():
     return rows + H.ODD
 
 
-@pytest.mark.parametrize("broadcast", [0, 200_000])
-def test_equals_brute_force(spark, monkeypatch, broadcast):
-    monkeypatch.setattr(jaccard, "BROADCAST_TEXTS", broadcast)
+@pytest.mark.parametrize("broadcast, small, most, rows, bits", [(200_000, 32, 20_000, 100_000, 4), (0, 1, 7, 30, 4), (0, 3, 11, 50, 0)])
+def test_equals_brute_force(spark, monkeypatch, broadcast, small, most, rows, bits):
+    """Also with all lists taken for large ones, and with lists in parts."""
+    for name, value in (("BROADCAST_TEXTS", broadcast), ("SMALL", small), ("ROWS", rows)):
+        monkeypatch.setattr(jaccard, name, value)
     rows = case()
     docs = H.documents(spark, rows, extra=True).repartition(5)
-    got = jaccard.representatives(docs)
-    assert got.columns == docs.columns
-    assert sorted((r["doc_id"] for r in got.collect()), key=str) == slow(rows)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "40" if small < 32 else old)
+    try:
+        got = simhash.representatives(docs, bits=bits, most=most).cache()
+        assert got.columns == docs.columns
+        assert sorted((r["doc_id"] for r in got.collect()), key=str) == slow(rows)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_long_sketches_are_folded_and_rule_out_no_similar_pair():
+    r = np.random.default_rng(5)
+    sizes = [10, 900, 2040, 2200, 5000]
+    sets = [np.unique(r.integers(0, 1 << 63, n).astype(np.uint64)) for n in sizes]
+    for a in sets:
+        for share in (0.02, 0.1, 0.5):
+            b = np.unique(np.concatenate([a[int(len(a) * share) :], r.integers(0, 1 << 63, int(len(a) * share)).astype(np.uint64)]))
+            x, y = [jaccard.sketch(a)], [jaccard.sketch(b)]
+            at = np.zeros(1, np.int64)
+            ok = jaccard._possible(jaccard._words(x), jaccard._words(y), at, at, x, y, np.array([len(a)]), np.array([len(b)]), 4, 5)[0]
+            assert ok or not jaccard.similar(a, b)
+            if share == 0.5 and len(a) > 100:
+                assert not ok
+    assert len(jaccard.sketch(sets[-1])) == jaccard.LONG * len(jaccard.sketch(sets[0]))
+
+
+def test_lists_stream_whatever_their_size(spark, monkeypatch):
+    """Small lists give their admissible pairs, a list over many batches is passed on, copies count once."""
+    monkeypatch.setattr(jaccard, "SMALL", 4)
+    rows = [(1, s, 10, 0) for s in (5, 6, 6, 7)] + [(2, s, 10, 0) for s in range(90)] * 2 + [(3, 8, 10, 0)] + [(4, s, 10 + 5 * (s == 9), 0) for s in (8, 9, 10)] + [(5, s, 10, 0) for s in range(5)] + [(6, 1, 10, 0)] * 9
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for size in ("1", "3", "1000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            got = jaccard.lists(spark.createDataFrame(rows, "h long, set long, n int, pos int")).collect()
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+        assert sorted((min(r["a"], r["b"]), max(r["a"], r["b"])) for r in got if r["h"] is None) == [(5, 6), (5, 7), (6, 7), (8, 10)]
+        assert sorted((r["h"], r["a"]) for r in got if r["h"] is not None) == [(2, s) for s in range(90)] + [(5, s) for s in range(5)]
 
 
 def test_pipeline_stage_links_at_similarity_of_four_fifths(spark):
@@ -69,4 +108,4 @@ def test_pipeline_stage_links_at_similarity_of_four_fifths(spark):
 
 
 def test_empty_table(spark):
-    assert jaccard.representatives(H.documents(spark, [])).count() == 0
+    assert simhash.representatives(H.documents(spark, [])).count() == 0

@@ -1,8 +1,8 @@
 """A corpus pipeline of five stages: each takes (spark, docs, sf_dir) and works on all that the one before kept.
 
 1. toxicity: documents scored at 0.5 or more go; the model learns from labels of the documents it is given.
-2. simhash_near_dedup: one document of each near-duplicate component stays; links are Jaccard similarities
-   of 0.8 or more over five-word shingles, found and compared exactly.
+2. simhash_near_dedup: one document of each near-duplicate group stays: the SimHash trie's links, checked by the
+   Jaccard similarity (0.8 or more) of five-word shingles, and those beyond its budget, found exactly.
 3. decontamination: documents with a verified overlap with a benchmark item go.
 4. pii: personal values become format-preserving pseudonyms; n_chars follows the text.
 5. packing: the documents' tokens are placed in sequences of at most 1024.
@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 
 from kmerloom.llm import _util as U
 from kmerloom.llm.decontamination import contaminated
-from kmerloom.llm.jaccard import representatives
 from kmerloom.llm.packing import pack
 from kmerloom.llm.pii import pseudonymise_text
+from kmerloom.llm.simhash import representatives
 from kmerloom.llm.toxicity import learn, score
 
 

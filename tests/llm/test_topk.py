@@ -30,13 +30,26 @@ def rows(n, d, seed, common=0):
 ODD = [(2000, None), (None, [1.0] * 8), (2001, [1.0, None] + [0.5] * 6), (2002, [float("nan")] * 8), (2003, [float("inf")] * 8), (2020, [0.0] * 8), (2040, []), (2005, [9.0, 9.0]), (-20, [1.0] * 8)]
 
 
-@pytest.mark.parametrize(("n", "common", "block", "query_block"), [(300, 0, 4096, 2048), (700, 250, 64, 7), (15, 0, 4, 2)])
-def test_equals_brute_force(spark, n, common, block, query_block):
+@pytest.mark.parametrize(("n", "common", "block", "query_block", "tile"), [(300, 0, 4096, 2048, 8), (700, 250, 64, 7, 8), (15, 0, 4, 2, 1), (600, 0, 10, 3, 3)])
+def test_equals_brute_force(spark, n, common, block, query_block, tile):
     data = rows(n, 8, n, common) + ODD
-    got = topk.top_products(table(spark, data), F.col("vec_id") % 20 == 0, block=block, query_block=query_block)
+    got = topk.top_products(table(spark, data), F.col("vec_id") % 20 == 0, block=block, query_block=query_block, tile=tile)
     assert sorted(map(tuple, got.collect())) == slow(data)
 
 
+def test_vectors_of_equal_length(spark):
+    """Lengths rule nothing out; repeated rows, also of a query, among them."""
+    r = np.random.default_rng(4)
+    x = r.normal(size=(500, 24))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    data = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = topk.top_products(table(spark, data), F.col("vec_id") % 20 == 0, block=50, query_block=10)
+    assert sorted(map(tuple, got.collect())) == slow(data)
+    twice = topk.top_products(table(spark, data[:60] + data[:1] + data[7:8]), F.col("vec_id") % 20 == 0, block=8, query_block=2).collect()
+    of = lambda q: sorted((r["rank"], r["vec_id"], r["score"]) for r in twice if r["query_id"] == q)
+    assert len(of(0)) == 40 and of(0)[::2] == of(0)[1::2] and len(of(20)) == 20
+
+
 def test_huge_components(spark):
     data = [(i, [1e15 * (i + 1), -3e14, 2.0]) for i in range(30)]
     got = topk.top_products(table(spark, data), F.col("vec_id") % 20 == 0).collect()
@@ -61,13 +74,21 @@ def test_pruning_skips_work():
     ids = np.arange(4000)
     _, vecs = np.linalg.eigh(v.T @ v)
     q = v[::400].copy()
-    best = topk.search(ids[::400], q, np.full(len(q), -np.inf), np.full(len(q), 1 << 62), ids, v, vecs[:, ::-1], 20)
+    r, best = vecs[:, ::-1][:, :8], topk.Best(np.full(len(q), -np.inf), np.full(len(q), 1 << 62), 20)
+    topk.search(topk.Prepared(ids[::400], q, r), topk.Prepared(ids, v, r), best)
     for k in range(len(q)):
         s = q[k] @ v.T
         s[400 * k] = -np.inf
         assert best.score[k].tolist() == np.sort(s)[::-1][:20].astype(int).tolist()
 
 
+def test_narrow_numbers_come_back():
+    for x in ([[1.0, -127.0]], [[128.0, 0.0]], [[-32767.0, 5.0]], [[40000.0, 1.0]], [[2.0**40, -3.0]], [[1e15, 64e15]]):
+        x = np.array(x)
+        assert (topk.wide(*topk.narrow(x), 2) == x).all()
+    assert [topk.narrow(np.array([[v]]))[0] for v in (127.0, 128.0, 1e5, 1e10)] == ["i1", "i2", "i4", "f8"]
+
+
 def test_empty_table(spark):
     assert topk.top_products(table(spark, []), F.lit(True)).count() == 0
     assert topk.top_products(table(spark, [(1, None)]), F.lit(True)).count() == 0

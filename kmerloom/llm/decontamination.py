@@ -8,15 +8,23 @@ length, if that is less) around the seed has at least `SHARE` equal tokens.
 Tokens are runs of characters other than white space and ASCII punctuation, in
 lower case.
 
+The masks miss nothing of 12 tokens or more that meets the criterion: every
+window of 16 or 15 tokens with three substitutions, and of 12 to 14 with two,
+holds a seed of one of them. Items of 8 to 11 tokens are found verbatim, and
+with substitutions where a mask fits between them; items of `SHORT` to 7 tokens,
+which no mask fits, get a seed of all their tokens and are found verbatim;
+shorter ones are never reported.
+
 The benchmark's seeds and items are broadcast only after counting: up to
 `BROADCAST_SEEDS` seeds, beyond which seeds, then texts, are joined by
 shuffles. Documents are not shuffled in the first case; hits are verified where
 they are found and summed up per document and item before they move.
 
-Defined results: null and empty texts have no seeds; items of fewer tokens than
-the longest mask are never reported; repeated items count once; hits of rows
-with equal doc_id are summed up together, those without doc_id under a null
-one; documents with no verified hit give no row; empty tables give no rows;
+Defined results: null and empty texts have no seeds; texts of any length are
+looked at whole; repeated items count once, and items of one item_id are summed
+up together; hits of rows with equal doc_id are, too, those without doc_id under
+a null one; counts, least and greatest places need no order, so there are no
+ties; documents with no verified hit give no row; empty tables give no rows;
 other columns are ignored.
 """
 
@@ -28,41 +36,57 @@ from pyspark.sql import functions as F
 from . import _util as U
 
 #: Token positions that each mask keeps.
-MASKS = ((0, 1, 2, 4, 7, 8, 10), (0, 1, 4, 5, 7, 9, 11), (0, 2, 3, 6, 7, 9, 10))
-SPAN = 1 + max(map(max, MASKS))
+MASKS = ((0, 1, 4, 7, 8, 9), (0, 3, 7, 9, 10, 11), (0, 1, 2, 4, 6, 7))
+SPANS = tuple(1 + max(mask) for mask in MASKS)
+#: The least number of tokens of an item.
+SHORT = 5
 WINDOW, SHARE = 16, 0.8
 BROADCAST_SEEDS = 1_000_000
 
 
 def tokens(text: Column) -> Column:
-    return F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\s\p{Punct}]+")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\s\p{Punct}]+"), "")
+
+
+def runs(lengths: tuple[int, ...] = ()) -> list[tuple[int, tuple[int, ...]]]:
+    """(number, kept positions) of the masks, and of whole runs of the lengths of short items."""
+    return [*enumerate(MASKS), *((-n, tuple(range(n))) for n in lengths)]
 
 
-def positions(words: Column, span: int = SPAN) -> Column:
+def places(words: Column, lengths: tuple[int, ...] = ()) -> Column:
+    """Every place of a text at which some run fits."""
+    span = min([*SPANS, *lengths])
     return F.explode_outer(F.when(F.size(words) >= span, F.sequence(F.lit(0), F.size(words) - span)))
 
 
-def seeds(words: Column, p: Column) -> Column:
-    """One seed for each mask; the mask's number is part of it."""
-    return F.explode(F.array(*(F.xxhash64(F.lit(k), *(F.get(words, p + o) for o in mask)) for k, mask in enumerate(MASKS))))
+def seeds(words: Column, p: Column, lengths: tuple[int, ...] = ()) -> Column:
+    """(seed, span) of each run that fits at a place (null where one does not); the run's number is part of its seed."""
+    each = [F.struct(F.when(p + 1 + kept[-1] <= F.size(words), F.xxhash64(F.lit(k), *(F.get(words, p + o) for o in kept))).alias("seed"), F.lit(1 + kept[-1]).alias("span")) for k, kept in runs(lengths)]
+    return F.explode(F.array(*each))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
     """doc_id, item_id, verified hits, the first and the last token of the document in them, and the greatest share of equal tokens."""
     items = benchmark.select("item_id", "text").dropDuplicates().select("item_id", F.xxhash64("item_id", "text").alias("item"), tokens(F.col("text")).alias("item_words"))
-    of_items = items.select("item", "item_words", positions(F.col("item_words")).alias("q")).where("q IS NOT NULL").select("item", "q", seeds(F.col("item_words"), F.col("q")).alias("seed"))
+    size = F.size("item_words")
+    # seven lengths at most; none, and no cost, where all items are longer
+    lengths = tuple(sorted(r[0] for r in items.where(size.between(SHORT, min(SPANS) - 1)).select(size).distinct().collect()))
+    own = items.where(size >= SHORT).select("item", "item_words", places(F.col("item_words"), lengths).alias("q")).where("q IS NOT NULL").select("item", "item_words", "q", seeds(F.col("item_words"), F.col("q"), lengths).alias("s"))
+    # a whole run stands for items of its own length only
+    of_items = own.where("s.seed IS NOT NULL").where((F.col("s.span") >= min(SPANS)) | (F.col("s.span") == size)).select("item", "q", F.col("s.seed").alias("seed"))
     small = of_items.limit(broadcast_seeds + 1).count() <= broadcast_seeds  # a bound on its seeds bounds its items, too
     held = F.broadcast if small else lambda df: df
 
     texts = docs.select("doc_id", "text")
+    at = lambda df, *keep: df.select(*keep, "words", places(F.col("words"), lengths).alias("p")).where("p IS NOT NULL").select(*keep, "words", "p", seeds(F.col("words"), F.col("p"), lengths).alias("s"))
     if small:
         base = texts.select("doc_id", tokens(F.col("text")).alias("words"))
-        hits = base.select("doc_id", "words", positions(F.col("words")).alias("p")).where("p IS NOT NULL").select("doc_id", "words", "p", seeds(F.col("words"), F.col("p")).alias("seed")).join(held(of_items), "seed")
+        hits = at(base, "doc_id").select("doc_id", "words", "p", "s.seed", "s.span").join(held(of_items), "seed")
     else:
         keyed = texts.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), tokens(F.col("text")).alias("words"))
-        places = keyed.select("row", "words", positions(F.col("words")).alias("p")).where("p IS NOT NULL").select("row", "p", seeds(F.col("words"), F.col("p")).alias("seed"))
-        # the seed tells the masks apart: each counts, as above; only repeated rows, which keyed brings back, are merged
-        hits = places.join(of_items, "seed").select("row", "p", "item", "q", "seed").distinct().join(keyed, "row")
+        found = at(keyed, "row").select("row", "p", "s.seed", "s.span").where("seed IS NOT NULL")
+        # the seed tells the runs apart: each counts, as above; only repeated rows, which keyed brings back, are merged
+        hits = found.join(of_items, "seed").select("row", "p", "span", "item", "q", "seed").distinct().join(keyed, "row")
     hits = hits.join(held(items), "item")
 
     length = F.least(F.lit(window), F.size("item_words"))
@@ -70,35 +94,44 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
     word, own = F.col("words"), F.col("item_words")
     at = lambda a, i, k: F.when(i + k >= 0, F.get(a, i + k))
     equal = F.transform(F.sequence(F.lit(-reach), F.lit(reach)), lambda k: F.coalesce((at(word, F.col("p"), k) == at(own, F.col("q"), k)).cast("int"), F.lit(0)))
-    # windows that start at most (length - SPAN) tokens before the seed
-    starts = F.sequence(F.lit(0), F.greatest(length - SPAN, F.lit(0)))
+    # windows that start so many tokens before the seed that they can hold it
+    starts = F.sequence(F.lit(0), F.greatest(length - min(SPANS), F.lit(0)))
     best = F.array_max(F.transform(starts, lambda o: F.aggregate(F.slice(F.col("equal"), reach + 1 - o, length), F.lit(0), lambda a, x: a + x)))
-    verified = hits.select("doc_id", "item_id", "p", length.alias("length"), "item_words", equal.alias("equal")).select("doc_id", "item_id", "p", (best / F.col("length")).alias("equal_share")).where(F.col("equal_share") >= share)
-    return verified.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_hits"), F.min("p").cast("long").alias("first_token"), (F.max("p") + SPAN - 1).cast("long").alias("last_token"), F.max("equal_share").alias("equal_share"))
+    verified = hits.select("doc_id", "item_id", "p", "span", length.alias("length"), "item_words", equal.alias("equal")).select("doc_id", "item_id", "p", "span", (best / F.col("length")).alias("equal_share")).where(F.col("equal_share") >= share)
+    return verified.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_hits"), F.min("p").cast("long").alias("first_token"), F.max(F.col("p") + F.col("span") - 1).cast("long").alias("last_token"), F.max("equal_share").alias("equal_share"))
 
 
 def op1_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(U.table(spark, sf_dir, "documents"), U.table(spark, sf_dir, "benchmark"))
 
 
-def _masked_sql(words: str, p: str) -> str:
-    return ", ".join("concat_ws(' ', " + ", ".join([f"'{k}'", *(f"{words}[{p} + {o + 1}]" for o in mask)]) + ")" for k, mask in enumerate(MASKS))
+def _seeds_sql(words: str, p: str, size: str | None = None) -> str:
+    """(number of the run, text of the kept tokens) of each run that fits; size: the item's, which a whole run must have."""
+    whole = range(SHORT, min(SPANS))
+    each = []
+    for k, kept in runs(tuple(whole)):
+        fits = f"{p} + {kept[-1] + 1} <= len({words})" + (f" AND {size} = {-k}" if k < 0 and size else "")
+        each.append(f"CASE WHEN {fits} THEN {{'seed': concat_ws(' ', '{k}', {', '.join(f'{words}[{p} + {o + 1}]' for o in kept)}), 'span': {kept[-1] + 1}}} END")
+    return "[" + ", ".join(each) + "]"
 
 
 def _oracle() -> str:
-    split = "string_split_regex(lower(coalesce(text, '')), '[\\s!-/:-@\\[-`{-~]+')"
+    split = "list_filter(string_split_regex(lower(coalesce(text, '')), '[\\s!-/:-@\\[-`{-~]+'), lambda x: x <> '')"
     total = " + ".join(f"CASE WHEN p + {{s}} + {k} >= 0 AND q + {{s}} + {k} >= 0 AND {k} < n AND words[p + {{s}} + {k + 1}] = item_words[q + {{s}} + {k + 1}] THEN 1 ELSE 0 END" for k in range(WINDOW))
-    best = ", ".join(f"CASE WHEN {o} <= greatest(n - {SPAN}, 0) THEN {total.format(s=-o)} ELSE 0 END" for o in range(WINDOW - SPAN + 1))
+    best = ", ".join(f"CASE WHEN {o} <= greatest(n - {min(SPANS)}, 0) THEN {total.format(s=-o)} ELSE 0 END" for o in range(WINDOW - min(SPANS) + 1))
     return f"""
 WITH items AS (SELECT DISTINCT item_id, {split} AS item_words, text FROM benchmark),
-item_places AS (SELECT item_id, item_words, unnest(range(len(item_words) - {SPAN - 1})) AS q FROM items WHERE len(item_words) >= {SPAN}),
-item_seeds AS (SELECT item_id, item_words, q, unnest([{_masked_sql("item_words", "q")}]) AS seed FROM item_places),
+item_places AS (SELECT item_id, item_words, unnest(range(len(item_words) - {SHORT - 1})) AS q FROM items WHERE len(item_words) >= {SHORT}),
+item_runs AS (SELECT item_id, item_words, q, unnest({_seeds_sql("item_words", "q", "len(item_words)")}) AS s FROM item_places),
+item_seeds AS (SELECT item_id, item_words, q, s.seed AS seed FROM item_runs WHERE s IS NOT NULL),
+wanted AS (SELECT DISTINCT seed FROM item_seeds),
 texts AS (SELECT doc_id, {split} AS words FROM documents),
-places AS (SELECT doc_id, words, unnest(range(len(words) - {SPAN - 1})) AS p FROM texts WHERE len(words) >= {SPAN}),
-seeds AS (SELECT doc_id, words, p, unnest([{_masked_sql("words", "p")}]) AS seed FROM places),
-hits AS (SELECT doc_id, item_id, p, q, words, item_words, least({WINDOW}, len(item_words)) AS n FROM seeds JOIN item_seeds USING (seed)),
-scored AS (SELECT doc_id, item_id, p, CAST(greatest({best}) AS DOUBLE) / n AS equal_share FROM hits)
-SELECT doc_id, item_id, count(*) AS n_hits, CAST(min(p) AS BIGINT) AS first_token, CAST(max(p) + {SPAN - 1} AS BIGINT) AS last_token, max(equal_share) AS equal_share
+places AS (SELECT doc_id, words, unnest(range(len(words) - {SHORT - 1})) AS p FROM texts WHERE len(words) >= {SHORT}),
+runs AS (SELECT doc_id, words, p, unnest({_seeds_sql("words", "p")}) AS s FROM places),
+seeds AS (SELECT doc_id, words, p, s.seed AS seed, s.span AS span FROM runs WHERE s IS NOT NULL AND s.seed IN (SELECT seed FROM wanted)),
+hits AS (SELECT doc_id, item_id, p, q, span, words, item_words, least({WINDOW}, len(item_words)) AS n FROM seeds JOIN item_seeds USING (seed)),
+scored AS (SELECT doc_id, item_id, p, span, CAST(greatest({best}) AS DOUBLE) / n AS equal_share FROM hits)
+SELECT doc_id, item_id, count(*) AS n_hits, CAST(min(p) AS BIGINT) AS first_token, CAST(max(p + span - 1) AS BIGINT) AS last_token, max(equal_share) AS equal_share
 FROM scored WHERE equal_share >= {SHARE} GROUP BY doc_id, item_id"""
 
 

@@ -350,7 +350,9 @@ def score_texts(docs: DataFrame, held_out: int = 10, frequent: int = FREQUENT, n
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(4)), pa.array(np.full(len(b), total), pa.int64()), b.column(4), pa.array(out, pa.float64()), b.column(5)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "times"])
 
     scored = encoded.where("moves IS NULL").drop("moves").mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, times long")
-    return U.unfolded(scored) if folded else scored.drop("times")
+    out = U.spill(U.unfolded(scored) if folded else scored.drop("times"), "scores")
+    U.drop(counts, encoded)  # a number for every token; the result has a row for every text
+    return out
 
 
 def op3_class_exchange_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

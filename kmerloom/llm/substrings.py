@@ -205,7 +205,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, render: str = "text")
     open_ = seen.where("text IS NOT NULL").select("doc_id", "n_words", "text", "times", "chunk")
     done = open_.groupBy("chunk").cogroup(U.repeated(near, "check").groupBy("chunk")).applyInArrow(cut, "doc_id long, n_words long, n_removed long, kept string, times long")
     out = seen.where("kept IS NOT NULL").select("doc_id", "n_words", "n_removed", "kept", "times").unionByName(done)
-    return U.unfolded(out) if folded else out.drop("times")
+    out = U.spill(U.unfolded(out) if folded else out.drop("times"), "kept")
+    U.drop(seen)  # with texts and windows; the result is smaller
+    return out
 
 
 def op4_difference_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ WINDOW = 1024
 END_ID = 0
 MAX_OPEN = 4096
 #: Pieces of text of which a worker remembers the ids.
-MEMO = 150_000
+MEMO = 200_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _NEAR_SPACES = re.compile(r"\s\s|^\s|\s$")
@@ -77,15 +77,16 @@ class PieceEncoder:
 
     The byte-level pre-tokeniser always starts a token at a single space
     between two other characters, so such pieces can be encoded apart and
-    remembered. A text with a space amid other white space, or with a special
-    token's string, is encoded whole.
+    remembered; when there are too many, those that came again are kept. A text
+    with a space amid other white space, or with a special token's string, is
+    encoded whole.
     """
 
     def __init__(self, path: str, memo: int = MEMO):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer, self.memo, self.known = Tokenizer.from_file(path), memo, {}
+        self.tokenizer, self.memo, self.known, self.again = Tokenizer.from_file(path), memo, {}, set()
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.ranked = ranked(self.tokenizer)
 
@@ -98,24 +99,40 @@ class PieceEncoder:
         encode = self.ranked.encode_ordinary
         return [array("I", encode(t)).tobytes() for t in texts]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        whole = [bool(_NEAR_SPACES.search(t)) or any(a in t for a in self.added) for t in texts]
-        split = [None if w else t.split(" ") for t, w in zip(texts, whole, strict=True)]
-        if len(self.known) > self.memo:
-            self.known.clear()
-        new = set()
-        for p in split:
-            if p:
-                new.update(p[1:])
-        new = [p for p in new if p not in self.known]
+    def _look_up(self, used: set[str]) -> None:
+        """Ids of pieces behind a space; None for those that can't be encoded apart."""
+        new = used.difference(self.known)
+        met = used - new
+        self.again |= met
+        if len(self.known) + len(new) > self.memo:
+            kept = self.again if len(self.again) < 0.7 * self.memo else met
+            self.known, self.again = {p: self.known[p] for p in kept}, set()
+        wrong = {p for p in new if not p.isalnum() and (not p or _NEAR_SPACES.search(p))}
+        self.known.update(dict.fromkeys(wrong))
+        new = list(new - wrong)
         for k in range(0, len(new), 20_000):
             part = new[k : k + 20_000]
             self.known.update(zip(part, self._pieces([" " + p for p in part]), strict=True))
-        whole = iter(self._ids([t for t, p in zip(texts, split, strict=True) if p is None]))
-        first = iter(self._pieces([p[0] for p in split if p is not None]))
-        known = self.known.__getitem__
-        return [next(whole) if p is None else next(first) + b"".join(map(known, p[1:])) for p in split]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        split = [t.split(" ") for t in texts]
+        used: set[str] = set()
+        for p in split:
+            used.update(p[1:])
+        self._look_up(used)
+        first = self._pieces([p[0] for p in split])
+        known, out, whole = self.known.__getitem__, [], []
+        for k, (t, p) in enumerate(zip(texts, split, strict=True)):
+            parts = None if any(a in t for a in self.added) or (len(p) > 1 and not p[0]) or _NEAR_SPACES.search(p[0]) else list(map(known, p[1:]))
+            if parts is None or None in parts:
+                whole.append(k)
+                out.append(b"")
+            else:
+                out.append(first[k] + b"".join(parts))
+        for k, ids in zip(whole, self._ids([texts[k] for k in whole]), strict=True):
+            out[k] = ids
+        return out
 
 
 class Packer:

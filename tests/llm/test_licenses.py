@@ -16,6 +16,9 @@ def slow(rows):
         t = (t or "").lower()
         paragraphs = re.split(r"\n[ \t\r]*\n", t)
         units = [("line", k, u) for k, u in enumerate(t.split("\n"))] + [("paragraph", k, u) for k, u in enumerate(paragraphs) if len(paragraphs) > 1 and "\n" in u] + ([("text", 0, t)] if "\n" in t else [])
+        if re.search(r"[.:;!?][ \t]", t):  # every run of sentences, whatever words it holds
+            pieces = re.sub(r"([.:;!?])[ \t]+", r"\1\n", t).split("\n")
+            units += [("sentence", k, " ".join(pieces[k : k + n])) for k in range(len(pieces)) for n in range(1, L.SENTENCES + 1)]
         for kind, k, u in units:
             for name, template in L.TEMPLATES:
                 x = dice(u, template)
@@ -30,12 +33,20 @@ def test_equals_brute_force(spark):
         w = t.split()
         rows += [(10 * k, H.prose(30, k) + "\n" + t + "\n" + H.prose(9, k)), (10 * k + 1, t.upper() + "!!"), (10 * k + 2, "\n".join(w)), (10 * k + 3, "a b\n\n" + " ".join(w[: len(w) // 2]) + "\n" + " ".join(w[len(w) // 2 :]) + "\n \nc d")]
         rows += [(10 * k + 4, " ".join(w[: len(w) * 3 // 4])), (10 * k + 5, t + " " + H.prose(len(w) // 3, k)), (10 * k + 6, H.prose(2000, k) + " " + t)]
-    rows += [(9000, "word " * 3000), *[(i, t) for i, t in H.ODD]]
+    # notices within one long line
+    rows += [(8000 + k, f"{H.prose(40, k)}. {t} {H.prose(30, 99 + k)}") for k, (_, t) in enumerate(L.TEMPLATES)]
+    rows += [(9000, "word " * 3000), (9001, "word. " * 20_000),  *[(i, t) for i, t in H.ODD]]
     got = L.scan(H.documents(spark, rows, extra=True)).select("doc_id", "license", "dice", "unit", "place").collect()
     assert sorted(map(tuple, got)) == slow(rows)
     assert L.scan(H.documents(spark, [])).count() == 0
 
 
+def test_notices_within_lines_are_found(spark):
+    rows = [(k, f"{H.prose(40, k)}. {t} {H.prose(30, 99 + k)}") for k, (_, t) in enumerate(L.TEMPLATES)]
+    got = {(r["doc_id"], r["license"]) for r in L.scan(H.documents(spark, rows)).collect()}
+    assert {(k, name) for k, (name, t) in enumerate(L.TEMPLATES) if t[-1] in ".:"} <= got
+
+
 def test_bounds_lose_nothing():
     listed = {(n, name, tuple(w)) for n, name, w in L.admissible()}
     for name, t in L.TEMPLATES:

@@ -12,6 +12,9 @@ documents and different values stay different:
   digits are computed anew;
 - phone numbers written (ddd) ddd-dddd or ddd-ddd-dddd, with or without a
   country code, which stays: the ten digits;
+- other phone numbers: international ones (+ and 8 to 15 digits in groups), the
+  digits behind the country code; French ones in pairs (0d dd dd dd dd) and
+  Spanish ones in groups of three or two, within what their first digits allow;
 - US social security numbers with valid area, group and serial: within these;
 - IPv4 addresses with octets up to 255: the 32 bits;
 - calendar dates from 1900 to 2099 written yyyy-mm-dd, dd/mm/yyyy, mm/dd/yyyy
@@ -23,7 +26,8 @@ documents and different values stay different:
 Whole texts are read in Arrow batches, without a shuffle.
 
 Defined results: a null text stays null with no value replaced; texts without
-values are unchanged; repeated rows give equal rows; a null doc_id stays null;
+values are unchanged; texts of any length are read whole; of kinds that match at
+one place the first of the pattern is taken, so there are no ties; repeated rows give equal rows; a null doc_id stays null;
 an empty table gives no rows; other columns are ignored (`pseudonymise_text`
 keeps them as they are).
 """
@@ -58,6 +62,8 @@ PATTERN = re.compile(
     | (?P<ip> (?<![0-9.]) [0-9]{1,3} (?:\.[0-9]{1,3}){3} (?![0-9]|\.[0-9]) )
     | (?P<ssn> (?<![0-9-]) [0-9]{3}-[0-9]{2}-[0-9]{4} (?![0-9]|-[0-9]) )
     | (?P<phone> (?<![0-9-]) (?:\+[0-9]{1,3}[ .-]?)? (?: \([0-9]{3}\)[ ]?[0-9]{3}-[0-9]{4} | [0-9]{3}[.-][0-9]{3}[.-][0-9]{4} ) (?![0-9]|-[0-9]) )
+    | (?P<abroad> (?<![0-9+]) \+[1-9][0-9]{0,2} (?: [ .-]? (?: \([0-9]{1,5}\) | [0-9]{2,5} ) ){2,6} (?![0-9]) )
+    | (?P<national> (?<![0-9.-]) (?: 0[1-9](?:[ .-][0-9]{2}){4} | [6-9][0-9]{2}(?:[ -][0-9]{3}){2} | [6-9][0-9]{2}(?:[ ][0-9]{2}){3} ) (?![0-9]|[.-][0-9]) )
     | (?P<card> (?<![0-9-]) (?: [0-9]{13,19} | [0-9]{4}(?P<gap>[ -])[0-9]{4}(?P=gap)[0-9]{4}(?P=gap)[0-9]{1,7} | [0-9]{4}(?P<gap2>[ -])[0-9]{6}(?P=gap2)[0-9]{5} ) (?![0-9]|-[0-9]) )
     """,
     re.VERBOSE,
@@ -66,6 +72,10 @@ _ANY = re.compile(r"[0-9@]")
 _NAMED = re.compile(r"(?:token|secret|passwd|password|api[_-]?key|access[_-]?key|key)[\"']?\s*$", re.IGNORECASE)
 
 
+#: Calling codes of two digits; 1 and 7 have one, all others three.
+TWO_DIGIT_CODES = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
+
 def feistel(x: int, size: int, key: bytes, tweak: bytes) -> int:
     """A keyed permutation of range(size): rounds over two digits of a mixed radix, walked until inside."""
     if size < 2:
@@ -162,6 +172,21 @@ class Pseudonyms:
         at = max(0, re.search(r"\(?[0-9]{3}\)?[ .-]?[0-9]{3}[.-][0-9]{4}$", s).start())
         return s[:at] + self._digits(s[at:], "phone")
 
+    def abroad(self, s: str) -> str | None:
+        digits = re.sub(r"[^0-9]", "", s)
+        if not 8 <= len(digits) <= 15:
+            return None
+        n = 1 if digits[0] in "17" else 2 if digits[:2] in TWO_DIGIT_CODES else 3
+        at = [m.end() for m in re.finditer("[0-9]", s)][n - 1]
+        return s[:at] + self._digits(s[at:], "abroad" + digits[:n])
+
+    def national(self, s: str) -> str:
+        digits = re.sub(r"[^0-9]", "", s)
+        first, least, kinds = (1, 1, 9) if digits[0] == "0" else (0, 6, 4)
+        rest = len(digits) - first - 1
+        x = self._permute((int(digits[first]) - least) * 10**rest + int(digits[first + 1 :]), kinds * 10**rest, "national")
+        return self._fill(s, f"{digits[:first]}{x // 10**rest + least}{x % 10**rest:0{rest}d}")
+
     def ssn(self, s: str) -> str | None:
         area, group, serial = map(int, s.split("-"))
         if area in (0, 666) or area >= 900 or not group or not serial:

@@ -48,6 +48,27 @@ def test_values_that_are_not_valid_stay():
         assert pii.Pseudonyms(b"k").rewrite(s) == (s, [])
 
 
+def test_phones_of_other_countries():
+    p = pii.Pseudonyms(b"k")
+    for s, stays in (("+49 30 1234567", "+49"), ("+33 6 12 34 56 78".replace(" 6 ", " 61 "), "+33"), ("+44 (20) 7946 0958", "+44"), ("+351 21 123 4567", "+351"), ("06 12 34 56 78", "0"), ("01.23.45.67.89", "0"), ("612 345 678", ""), ("912-345-678", ""), ("612 34 56 78", "")):
+        out, spans = p.rewrite(f"call {s}, please")
+        assert [k for k, *_ in spans] == ["abroad" if s[0] == "+" else "national"]
+        new = out[5:].removesuffix(", please")
+        assert new != s and new.startswith(stays) and re.sub("[0-9]", "9", new) == re.sub("[0-9]", "9", s)
+    # one number in two layouts stays linked, and valid
+    a, b = p.national("612 345 678"), p.national("612 34 56 78")
+    assert re.sub(" ", "", a) == re.sub(" ", "", b) and a[0] in "6789"
+    assert len({p.national(f"06 12 34 {x // 100:02d} {x % 100:02d}") for x in range(2000)}) == 2000
+    for s in ("+12", "+1 22 33", "+999999999999999999", "00 12 34 56 78", "512 345 678", "1.06.12.34.56.78"):
+        assert p.rewrite(s) == (s, [])
+
+
+def test_very_long_text():
+    p = pii.Pseudonyms(b"k")
+    out, spans = p.rewrite("12 word " * 100_000 + "jo.doe7@mail2.example.com" + " x" * 1000)
+    assert len(spans) == 1 and out.startswith("12 word 12 word")
+
+
 def test_values_behind_others_are_found():
     p = pii.Pseudonyms(b"k")
     out, spans = p.rewrite("72224148 663-555-6869 4539148803436467 4539148803436467 256.1.1.1 10.0.0.1")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -15,6 +16,10 @@ from pyspark.sql.types import LongType, StructField, StructType
 #: Text held together in one Python group, in characters.
 CHUNK_CHARS = 12_000_000
 
+#: Seconds between two collections on the driver.
+COLLECT_S = 5.0
+
+_collected = 0.0
 _own_dirs: dict[str, str] = {}
 _spilled: dict[str, list[str]] = {}
 
@@ -42,12 +47,21 @@ def spill(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/kmerloom-{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _collect(spark)
     _spilled.setdefault(spark.sparkContext.applicationId, []).append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._kmerloom_path = path
     return out
 
 
+def _collect(spark: SparkSession) -> None:
+    """Has the driver forget plans that are done: Spark deletes shuffle files and broadcasts once their plans are collected, and else only when the driver's heap is full."""
+    global _collected
+    if time.monotonic() - _collected > COLLECT_S:
+        spark.sparkContext._jvm.java.lang.System.gc()
+        _collected = time.monotonic()
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _util as U
-from ._graph import components
+from ._graph import components, grown
 
 SHINGLE = 5
 #: As a fraction, so that no pair is decided by rounding.
@@ -244,7 +244,7 @@ def likely(pairs: DataFrame, sketches: DataFrame, similarity: tuple[int, int] =
                 yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
 
     one, other = (sketches.select(F.col("set").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in ("a", "b"))
-    return pairs.select("a", "b").join(one, "a").join(other, "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b").join(one.hint("merge"), "a").join(other.hint("merge"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long")
 
 
 def apart(large: DataFrame, root: DataFrame, sketches: DataFrame, similarity: tuple[int, int], forest: bool, most: int = MOST) -> DataFrame:
@@ -346,31 +346,35 @@ def verified(docs: DataFrame, chosen: DataFrame, pairs: DataFrame, shingle: int
     held = F.broadcast if needed.count() <= BROADCAST_TEXTS else lambda df: df
     texts = U.spill(docs.select(F.xxhash64("doc_id", "text").alias("row"), "text").join(held(needed), "row").groupBy("set").agg(F.min("text").alias("text")), "texts")
     one, other = (texts.select(F.col("set").alias(c), F.col("text").alias(f"text_{c}")) for c in ("a", "b"))
-    both = pairs.join(one, "a").join(other, "b").select("a", "b", "text_a", "text_b")
+    both = pairs.join(one.hint("merge"), "a").join(other.hint("merge"), "b").select("a", "b", "text_a", "text_b")
     out = U.spill(both.mapInArrow(run, "u long, v long"), "links")
     U.drop(needed, texts)
     return out
 
 
 def completed(docs: DataFrame, marks: DataFrame, chosen: DataFrame, found: DataFrame, shingle: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY, most: int = MOST) -> DataFrame:
-    """Edges (u, v) between similar sets that hold every component, from marks (see above), chosen (set, m.row) and edges found before."""
+    """(node, root) of all sets that are similar to another one, from marks (see above), chosen (set, m.row) and edges (u, v) found before."""
+    root = components(found)
     listed = U.spill(lists(marks.select("set", "n", F.posexplode("first").alias("pos", "h")).select("h", "set", "n", "pos"), similarity), "lists")
     some = listed.select(F.explode(F.array("a", "b")).alias("set")).where("set IS NOT NULL").distinct()
     sketches = U.spill(marks.where("bits IS NOT NULL").join(some, "set", "left_semi").select("set", "n", "bits").dropDuplicates(["set"]), "sketches")
-    large = listed.where("h IS NOT NULL")
     pairs = listed.where("h IS NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    root = components(found)
     for c in ("a", "b"):
-        pairs = pairs.join(root.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c, "left")
+        pairs = pairs.join(root.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")).hint("merge"), c, "left")
     pairs = pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
     tried = U.spill(likely(pairs, sketches, similarity), "pairs")
     stored = [listed, sketches, tried]
-    found = found.unionByName(verified(docs, chosen, tried, shingle, similarity))
-    for forest in (True, False):
-        rest = apart(large, components(found), sketches, similarity, forest, most).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        rest = U.spill(rest.join(tried, ["a", "b"], "left_anti"), "pairs")
-        stored.append(rest)
-        found = found.unionByName(verified(docs, chosen, rest, shingle, similarity))
-        tried = tried.unionByName(rest)
+    large = listed.where("h IS NOT NULL")
+    rounds = (None,) if large.isEmpty() else (None, True, False)
+    for forest in rounds:
+        if forest is None:
+            rest = tried
+        else:
+            rest = apart(large, root, sketches, similarity, forest, most).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            rest = U.spill(rest.join(tried, ["a", "b"], "left_anti"), "pairs")
+            stored.append(rest)
+            tried = tried.unionByName(rest)
+        if not rest.isEmpty():
+            root = grown(root, verified(docs, chosen, rest, shingle, similarity))
     U.drop(*stored)
-    return found
+    return root

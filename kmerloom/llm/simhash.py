@@ -250,7 +250,7 @@ def representatives(docs: DataFrame, shingle: int = J.SHINGLE, similarity: tuple
     chosen = U.spill(marks.groupBy("set").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("m"), F.first("fp").alias("fp"), F.first("n").alias("n")), "chosen")
     pairs = U.spill(trie_pairs(chosen.where("n > 0").select("set", "fp"), bits).distinct(), "pairs")
     found = J.verified(docs, chosen, pairs, shingle, similarity)
-    root = components(J.completed(docs, marks, chosen, found, shingle, similarity, most)).withColumnRenamed("node", "set")
+    root = J.completed(docs, marks, chosen, found, shingle, similarity, most).withColumnRenamed("node", "set")
     kept = chosen.join(root, "set", "left").groupBy(F.coalesce("root", "set").alias("root")).agg(F.min("m").alias("m"))
     own = f"row_{uuid.uuid4().hex}"  # no column of docs has this name
     return docs.withColumn(own, F.xxhash64("doc_id", "text")).join(kept.select(F.col("m.row").alias(own)), own, "left_semi").dropDuplicates([own]).drop(own)

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from . import helpers as H
 
@@ -41,6 +42,25 @@ def test_stages(spark, folder):
     assert sorted(map(tuple, pipeline.run(spark, d).select("doc_id", "start", "length", "ids_crc32").collect())) == sorted(map(tuple, packed.select("doc_id", "start", "length", "ids_crc32").collect()))
 
 
+def test_columns_with_names_that_stages_use(spark, folder):
+    """Extra columns come through all stages but the last, whatever their names; with nulls, copies and rows without doc_id."""
+    d, rows = folder
+    plain = spark.read.parquet(f"{d}/documents.parquet")
+    docs = H.documents(spark, [*rows, (None, None), (None, "only words here"), (None, "only words here")], extra=True)
+    for name in ("root", "set", "a", "b", "chunk", "times", "item", "q", "span", "own", "mark", "toxic"):
+        if name not in docs.columns:
+            docs = docs.withColumn(name, F.lit(name))
+    for name, stage in pipeline.STAGES[:-1]:
+        want = {r["doc_id"] for r in stage(spark, plain, d).collect()}
+        out = stage(spark, docs, d)
+        assert out.dtypes == docs.dtypes
+        out = out.collect()
+        assert {r["doc_id"] for r in out} - {None} == want and all(r["root"] == "root" and r["h"] == 7 for r in out)
+        assert any(r["doc_id"] is None for r in out)
+        plain, docs = pipeline.U.spill(stage(spark, plain, d), name), pipeline.U.spill(stage(spark, docs, d), name)
+    assert {r["doc_id"] for r in pipeline.STAGES[-1][1](spark, docs, d).collect()} - {None} == want
+
+
 def test_empty_table(spark, folder):
     d, _ = folder
     docs = spark.read.parquet(f"{d}/documents.parquet").where("false")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import dna
@@ -140,6 +140,14 @@ def apply_batches(matrix: DataFrame, process, key_type: str = "string", key: str
     return matrix.select(key, "counts").mapInPandas(run, f"{key} {key_type}, counts array<bigint>")
 
 
+def observed(matrix: DataFrame, name: str = "merge") -> tuple[DataFrame, Observation]:
+    """The matrix, and what an observer learns of it while it is written: rows, cells that are held, and their sum. No pass of its own."""
+    held = F.size(F.filter("counts", lambda c: c > 0)).cast("bigint")
+    total = F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, c: a + c)
+    seen = Observation(name)
+    return matrix.observe(seen, F.count(F.lit(1)).alias("rows"), F.sum(held).alias("cells"), F.sum(total).alias("total")), seen
+
+
 def columns(matrix: DataFrame, samples: list[str], key: str = "kmer", prefix: str = "") -> DataFrame:
     """One column for each sample; a k-mer key as letters."""
     shown = dna.letters(F.col(key)).alias(key) if key == "kmer" else F.col(key)

@@ -99,6 +99,11 @@ def test_plugins(spark):
     assert cells(merging.apply_batches(m, lambda x, c: (x != "10", [v + 1 for v in c]))) == {"00": (6, 5, 2), "11": (3, 3, 3)}
 
 
+def test_observer(spark):
+    m, seen = merging.observed(matrix(spark, {"00": (5, 0, 1), "01": (1, 1, 1)}))
+    assert m.count() == 2 and seen.get == {"rows": 2, "cells": 5, "total": 9}
+
+
 @pytest.mark.parametrize("key", [{}, {"00": 3}, {"00": 3, "02": 4, "99": 5}, {"99": 1}])
 def test_filter(spark, key):
     m = matrix(spark, {"00": (5, 4), "01": (1, 1), "02": (2, 2)})

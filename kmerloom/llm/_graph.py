@@ -17,16 +17,18 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     ends when each edge leads from a node to its root.
     """
     e = U.spill(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    for _ in range(max_rounds):
+    for n in range(max_rounds):
         # large star: every larger neighbour of a node is linked to the least neighbour
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # small star: every smaller neighbour of a node, and the node, to the least
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least.hint("merge"), "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
         before, e = e, U.spill(small.where("u <> v").distinct(), "edges")
         U.drop(before)
+        if not n:
+            continue  # not to be tried so early
         # done when every node has one edge and no edge ends where another starts
         several = e.groupBy("u").count().where("count > 1").select("u")
         ends = e.select(F.col("v").alias("u")).distinct()

@@ -58,10 +58,24 @@ def _collect(spark: SparkSession) -> None:
     """Has the driver forget plans that are done: Spark deletes shuffle files and broadcasts once their plans are collected, and else only when the driver's heap is full."""
     global _collected
     if time.monotonic() - _collected > COLLECT_S:
+        spark.range(1).count()  # listeners hold on to the last plan until another one ends
         spark.sparkContext._jvm.java.lang.System.gc()
         _collected = time.monotonic()
 
 
+def trim() -> None:
+    """Gives memory that is free back to the system: workers live on, and the next task needs it elsewhere."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -1,6 +1,6 @@
 """Documents whose sets of word shingles have a Jaccard similarity of some value or more, found exactly.
 
-Completes what the SimHash trie finds (`simhash.representatives`): the trie's
+Completes what the SimHash trie finds (`simhash.representatives`): its
 error budget reaches near-identical texts, this search misses no pair. The
 shingles of every text (`SHINGLE` words, A-Z lowered, ASCII white space splits)
 are put in one common order, seldom ones first, and of n shingles the first
@@ -352,29 +352,22 @@ def verified(docs: DataFrame, chosen: DataFrame, pairs: DataFrame, shingle: int
     return out
 
 
-def completed(docs: DataFrame, marks: DataFrame, chosen: DataFrame, found: DataFrame, shingle: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY, most: int = MOST) -> DataFrame:
-    """(node, root) of all sets that are similar to another one, from marks (see above), chosen (set, m.row) and edges (u, v) found before."""
-    root = components(found)
+def components_of(docs: DataFrame, marks: DataFrame, chosen: DataFrame, pairs: DataFrame, shingle: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY, most: int = MOST) -> DataFrame:
+    """(node, root) of all sets that are similar to another one, from marks (see above), chosen (set, m.row) and stored pairs (a, b) to be tried first."""
     listed = U.spill(lists(marks.select("set", "n", F.posexplode("first").alias("pos", "h")).select("h", "set", "n", "pos"), similarity), "lists")
     some = listed.select(F.explode(F.array("a", "b")).alias("set")).where("set IS NOT NULL").distinct()
     sketches = U.spill(marks.where("bits IS NOT NULL").join(some, "set", "left_semi").select("set", "n", "bits").dropDuplicates(["set"]), "sketches")
-    pairs = listed.where("h IS NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    for c in ("a", "b"):
-        pairs = pairs.join(root.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")).hint("merge"), c, "left")
-    pairs = pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    tried = U.spill(likely(pairs, sketches, similarity), "pairs")
+    small = listed.where("h IS NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    tried = U.spill(likely(small, sketches, similarity).unionByName(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct(), "pairs")
     stored = [listed, sketches, tried]
+    root = components(verified(docs, chosen, tried, shingle, similarity))
     large = listed.where("h IS NOT NULL")
-    rounds = (None,) if large.isEmpty() else (None, True, False)
-    for forest in rounds:
-        if forest is None:
-            rest = tried
-        else:
-            rest = apart(large, root, sketches, similarity, forest, most).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-            rest = U.spill(rest.join(tried, ["a", "b"], "left_anti"), "pairs")
-            stored.append(rest)
-            tried = tried.unionByName(rest)
+    for forest in () if large.isEmpty() else (True, False):
+        rest = apart(large, root, sketches, similarity, forest, most).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        rest = U.spill(rest.join(tried, ["a", "b"], "left_anti"), "pairs")
+        stored.append(rest)
         if not rest.isEmpty():
+            tried = tried.unionByName(rest)
             root = grown(root, verified(docs, chosen, rest, shingle, similarity))
     U.drop(*stored)
     return root

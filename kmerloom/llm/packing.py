@@ -240,6 +240,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
                     yield out()
         packer.flush()
         yield out()
+        U.trim()
 
     return docs.select("doc_id", U.text_or_empty().alias("text")).mapInArrow(run, SCHEMA)
 

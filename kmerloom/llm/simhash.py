@@ -241,7 +241,7 @@ def representatives(docs: DataFrame, shingle: int = J.SHINGLE, similarity: tuple
     Texts are alike if the sets of their shingles have a Jaccard similarity of
     `similarity` or more; groups are the components of that. The trie self-join
     over the sets' SimHash links the closest ones, each link is checked against
-    the texts, and `jaccard.completed` finds what lies beyond the budget of
+    the texts, and `jaccard.components_of` finds what lies beyond the budget of
     `bits`: a trie can't carry the ten to fifteen differing bits of 64 that a
     similarity of 0.8 comes with. Nothing alike is missed. null and wordless texts
     are alike; repeated rows are; an empty table gives no rows.
@@ -249,8 +249,7 @@ def representatives(docs: DataFrame, shingle: int = J.SHINGLE, similarity: tuple
     marks = U.spill(J.marks(docs, shingle, similarity), "marks")
     chosen = U.spill(marks.groupBy("set").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("m"), F.first("fp").alias("fp"), F.first("n").alias("n")), "chosen")
     pairs = U.spill(trie_pairs(chosen.where("n > 0").select("set", "fp"), bits).distinct(), "pairs")
-    found = J.verified(docs, chosen, pairs, shingle, similarity)
-    root = J.completed(docs, marks, chosen, found, shingle, similarity, most).withColumnRenamed("node", "set")
+    root = J.components_of(docs, marks, chosen, pairs, shingle, similarity, most).withColumnRenamed("node", "set")
     kept = chosen.join(root, "set", "left").groupBy(F.coalesce("root", "set").alias("root")).agg(F.min("m").alias("m"))
     own = f"row_{uuid.uuid4().hex}"  # no column of docs has this name
     return docs.withColumn(own, F.xxhash64("doc_id", "text")).join(kept.select(F.col("m.row").alias(own)), own, "left_semi").dropDuplicates([own]).drop(own)

@@ -244,8 +244,11 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, penalt
     s1, s0 = y.sum(), len(y) - y.sum()
     if not s1 or not s0:
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log((n1 + 0.5) / (n0 + 0.5))), len(pairs), len(y))
+    n_pairs, n_rows = len(pairs), len(y)
     found, weights, bias = fit(x, y, pairs, penalty)
-    return Model(found, weights, bias + float(np.log(s0 / n0) - np.log(s1 / n1)), len(pairs), len(y))
+    del x, y, pairs, edge, numbers, values
+    U.trim()
+    return Model(found, weights, bias + float(np.log(s0 / n0) - np.log(s1 / n1)), n_pairs, n_rows)
 
 
 def score(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
@@ -290,6 +293,8 @@ def score(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
                 out.append(math.fsum(z))
             p = L.sigmoid(np.array(out, np.float64))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], [*(f.name for f in b.schema), name])
+        del seen, known, weighty
+        U.trim()
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 

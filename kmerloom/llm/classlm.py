@@ -356,4 +356,4 @@ def score_texts(docs: DataFrame, held_out: int = 10, frequent: int = FREQUENT, n
 
 
 def op3_class_exchange_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_texts(U.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return score_texts(U.spread(U.table(spark, sf_dir, "documents").select("doc_id", "text")))

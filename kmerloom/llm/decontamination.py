@@ -102,7 +102,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
 
 
 def op1_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(U.table(spark, sf_dir, "documents"), U.table(spark, sf_dir, "benchmark"))
+    return contaminated(U.spread(U.table(spark, sf_dir, "documents").select("doc_id", "text")), U.table(spark, sf_dir, "benchmark"))
 
 
 def _seeds_sql(words: str, p: str, size: str | None = None) -> str:

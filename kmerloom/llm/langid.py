@@ -194,6 +194,6 @@ def identify(docs: DataFrame, learn: DataFrame, per_language: int = PER_LANGUAGE
 
 
 def op5_ftrl_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = U.table(spark, sf_dir, "documents")
+    docs = U.spread(U.table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     found = identify(docs, docs.where(U.remainder(5) != 0))
     return found.select("doc_id", (U.remainder(5) == 0).alias("held_out"), "lang_pred", "score")

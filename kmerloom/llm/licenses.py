@@ -142,7 +142,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
 
 
 def op6_dice_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(U.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scan(U.spread(U.table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def _oracle() -> str:

@@ -282,4 +282,4 @@ def pseudonymise_text(docs: DataFrame, key: bytes = KEY) -> DataFrame:
 
 def op7_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text with pseudonyms, n_replaced."""
-    return pseudonymise(U.table(spark, sf_dir, "documents")).select("doc_id", "text", F.size("spans").cast("long").alias("n_replaced"))
+    return pseudonymise(U.spread(U.table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", "text", F.size("spans").cast("long").alias("n_replaced"))

@@ -256,4 +256,4 @@ def representatives(docs: DataFrame, shingle: int = J.SHINGLE, similarity: tuple
 
 
 def op2_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(U.table(spark, sf_dir, "documents"))
+    return near_duplicates(U.spread(U.table(spark, sf_dir, "documents").select("doc_id", "text")))

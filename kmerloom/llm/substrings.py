@@ -211,7 +211,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, render: str = "text")
 
 
 def op4_difference_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(U.table(spark, sf_dir, "documents"), render="sha256").withColumnRenamed("kept", "kept_sha256")
+    return remove_repeats(U.spread(U.table(spark, sf_dir, "documents").select("doc_id", "text")), render="sha256").withColumnRenamed("kept", "kept_sha256")
 
 
 ORACLE_SQL = {

@@ -300,6 +300,6 @@ def score(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
 
 
 def op8_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = U.table(spark, sf_dir, "documents").select("doc_id", "text"), U.table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    docs, labels = U.spread(U.table(spark, sf_dir, "documents").select("doc_id", "text")), U.table(spark, sf_dir, "labels").select("doc_id", "toxic")
     model = learn(docs, labels.where(U.remainder(5) != 0))
     return score(docs, model).select("doc_id", (U.remainder(5) == 0).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))

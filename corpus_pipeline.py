@@ -63,7 +63,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = U.table(spark, sf_dir, "documents")
+    docs = U.spread(U.table(spark, sf_dir, "documents"))
     for name, stage in STAGES[:-1]:
         docs = U.spill(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)

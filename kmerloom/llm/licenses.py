@@ -1,17 +1,14 @@
 """Licence scan: Dice coefficient over word bigrams against licence templates, in DataFrame functions only.
 
-A text is looked at by line, by paragraph (between blank lines) and whole, and,
-for notices within longer lines, by every run of up to `SENTENCES` sentences,
-which end at a line's end or behind one of .:;!? and a space. Runs are made of
-texts, and kept if they, hold one of `KEYWORDS`: words chosen so that bigrams
-with them are over a third of each template's, of which a unit needs two thirds
-at least to reach the threshold. A notice that no such mark parts from other
-words of its line is not found. A unit is normalised (lower case; white space and ASCII punctuation separate
+A text is looked at by line, by paragraph (between blank lines) and whole. A
+unit is normalised (lower case; white space and ASCII punctuation separate
 words) and cut into its set of word bigrams, held as 64-bit hashes. The Dice coefficient with a
 template of b bigrams can reach t only if the unit has between t b / (2 - t)
 and (2 - t) b / t bigrams: the templates are listed under every admissible
 number, and a unit is compared with those under its own. The template list is
-bounded by its parameters and is broadcast; texts are not shuffled.
+bounded by its parameters and is broadcast; texts are not shuffled. A notice
+that shares its line or paragraph with more words than the bounds admit is not
+found.
 
 Defined results: null and empty texts, and units of one word, match nothing;
 the best unit counts for each document and licence (ties: the earliest kind,
@@ -31,8 +28,6 @@ from pyspark.sql import functions as F
 from . import _util as U
 
 THRESHOLD = 0.8
-#: Sentences of a run: as many as the longest template of several has.
-SENTENCES = 3
 
 #: Names and wording of public licences and of their usual notices.
 TEMPLATES = (
@@ -78,24 +73,6 @@ def bigrams(text: str) -> list[str]:
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(w, w[1:], strict=False)))
 
 
-def keywords(templates=TEMPLATES, threshold: float = THRESHOLD) -> list[str]:
-    """Words of five letters or more such that a unit without any of them can reach the threshold with no template.
-
-    A unit shares at least threshold / (2 - threshold) of a template's bigrams;
-    each word taken is in most templates that still lack bigrams with one.
-    """
-    listed, taken = [bigrams(t) for _, t in templates], []
-    while True:
-        open_ = [b for b in listed if sum(not set(x.split()).isdisjoint(taken) for x in b) <= (1 - threshold / (2 - threshold)) * len(b)]
-        if not open_:
-            return sorted(taken)
-        score: dict[str, int] = {}
-        for b in open_:
-            for w in {w for x in b for w in x.split() if len(w) >= 5}.difference(taken):
-                score[w] = score.get(w, 0) + 1
-        taken.append(max(sorted(score), key=score.get) if score else next(w for x in open_[0] for w in x.split() if w not in taken))
-
-
 def admissible(templates=TEMPLATES, threshold: float = THRESHOLD):
     """(number of bigrams of a unit, licence, template words) for every number that can reach the threshold."""
     for name, text in templates:
@@ -118,16 +95,11 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
     low = F.lower("text")
     place = lambda kind, parts: F.transform(parts, lambda u, i: F.struct(F.lit(kind).alias("kind"), i.alias("place"), u.alias("body")))
     paragraphs = F.split(low, r"\n[ \t\r]*\n")
-    some = "|".join(map(re.escape, keywords(templates, threshold)))
-    pieces = F.split(F.regexp_replace(low, r"([.:;!?])[ \t]+", "$1\n"), r"\n")
-    runs = F.flatten(F.transform(pieces, lambda x, i: F.transform(F.sequence(F.lit(1), F.lit(SENTENCES)), lambda n: F.struct(i.alias("place"), F.array_join(F.slice(pieces, i + 1, n), " ").alias("body")))))
-    sentences = F.transform(F.filter(runs, lambda u: F.rlike(u["body"], F.lit(some))), lambda u: F.struct(F.lit("sentence").alias("kind"), u["place"].alias("place"), u["body"].alias("body")))
     # whole texts and paragraphs of a single line are looked at as lines
     units = F.concat(
         place("line", F.split(low, r"\n")),
         F.when(F.size(paragraphs) > 1, F.filter(place("paragraph", paragraphs), lambda u: F.contains(u["body"], F.lit("\n")))).otherwise(F.expr("array()")),
         F.when(F.contains(low, F.lit("\n")), place("text", F.array(low))).otherwise(F.expr("array()")),
-        F.when(F.rlike(low, F.lit(some)) & F.rlike(low, F.lit(r"[.:;!?][ \t]")), sentences).otherwise(F.expr("array()")),
     )
     # each step behind a generator of one row, so that no expression is copied into another
     once = lambda c: F.explode_outer(F.array(c))
@@ -147,7 +119,6 @@ def op6_dice_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _oracle() -> str:
     q = lambda s: "'" + s.replace("'", "''") + "'"
-    some = "|".join(map(re.escape, keywords()))
     rows = ", ".join(f"({q(name)}, [{', '.join(q(b) for b in bigrams(text))}])" for name, text in TEMPLATES)
     return f"""
 WITH templates AS (SELECT * FROM (VALUES {rows}) AS t(license, template)),
@@ -155,9 +126,7 @@ d AS (SELECT doc_id, lower(text) AS low FROM documents WHERE text IS NOT NULL),
 units AS (
   SELECT doc_id, 'line' AS unit, unnest(string_split(low, chr(10))) AS body, unnest(range(len(string_split(low, chr(10))))) AS place FROM d
   UNION ALL SELECT * FROM (SELECT doc_id, 'paragraph', unnest(string_split_regex(low, '\\n[ \\t\\r]*\\n')) AS body, unnest(range(len(string_split_regex(low, '\\n[ \\t\\r]*\\n')))) FROM d WHERE len(string_split_regex(low, '\\n[ \\t\\r]*\\n')) > 1) WHERE contains(body, chr(10))
-  UNION ALL SELECT doc_id, 'text', low, 0 FROM d WHERE contains(low, chr(10))
-  UNION ALL SELECT * FROM (SELECT doc_id, 'sentence', array_to_string(pieces[i + 1 : i + n], ' ') AS body, i FROM (SELECT doc_id, pieces, i, unnest(range(1, {SENTENCES} + 1)) AS n FROM (SELECT doc_id, pieces, unnest(range(len(pieces))) AS i FROM
-    (SELECT doc_id, string_split(regexp_replace(low, '([.:;!?])[ \t]+', '\1' || chr(10), 'g'), chr(10)) AS pieces FROM d WHERE regexp_matches(low, '[.:;!?][ \t]'))))) WHERE regexp_matches(body, '{some}')),
+  UNION ALL SELECT doc_id, 'text', low, 0 FROM d WHERE contains(low, chr(10))),
 w AS (SELECT doc_id, unit, place, list_filter(string_split_regex(body, '[\\s!-/:-@\\[-`{{-~]+'), lambda x: x <> '') AS words FROM units),
 own AS (SELECT doc_id, unit, place, list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS own FROM w WHERE len(words) > 1),
 scored AS (SELECT doc_id, license, unit, place, round(2.0::DOUBLE * len(list_intersect(own, template)) / (len(own) + len(template)), 6) AS dice FROM own, templates),

@@ -28,5 +28,5 @@ def bloom_fpr(slots: Column, n: Column, hashes: int = 1) -> Column:
 
 
 def bloom_cardinality(slots: Column, set_slots: Column, hashes: int = 1) -> Column:
-    """Estimated number of keys of a filter from its set slots."""
-    return -(slots / F.lit(float(hashes))) * F.ln(1 - set_slots / slots)
+    """Estimated number of keys of a filter from its set slots; infinite for a full one (Spark's logarithm of 0 is null)."""
+    return F.when(set_slots == slots, F.lit(float("inf"))).otherwise(-(slots / F.lit(float(hashes))) * F.ln(1 - set_slots / slots))

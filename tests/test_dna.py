@@ -101,6 +101,11 @@ def test_buckets_and_packed_bits(spark):
     assert bytes(got) == bytes([0b10000001, 1])
 
 
+def test_estimate_of_a_full_filter(spark):
+    got = spark.range(3).select(bits.bloom_cardinality(F.lit(2.0), F.col("id")).alias("n"))
+    assert [r["n"] for r in got.orderBy("n").collect()] == [0.0, pytest.approx(2 * np.log(2)), float("inf")]
+
+
 def test_every_valid_minimizer_has_no_inner_aa(spark):
     rows = ["".join(x) for x in itertools.product("0123", repeat=5)]
     got = spark.createDataFrame([(r,) for r in rows], "s string").select("s", dna.valid_minimizer(F.col("s")).alias("v")).collect()

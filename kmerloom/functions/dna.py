@@ -64,7 +64,7 @@ def decode(number: Column, k: int) -> Column:
 
 def clean(text: Column) -> Column:
     """The A, C, G, T of a text in upper case, all else left out."""
-    return F.regexp_replace(F.upper(text), "[^ACGT]", "")
+    return F.regexp_replace(F.upper(text), "[^ACGT]+", "")
 
 
 def segments(seq: Column) -> Column:

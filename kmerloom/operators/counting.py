@@ -8,10 +8,14 @@ fills a third of all reads leaves each task as one row.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from ..functions import dna
+from ..functions import dna, hashing
+from . import _batches
 
 #: Counts saturate here unless a call says otherwise.
 MAX_COUNT = 4_294_967_295
@@ -68,6 +72,32 @@ def histogram_totals(counts: DataFrame, bounds: tuple[int, int] = HISTOGRAM) ->
     )
 
 
+def count_slots(reads: DataFrame, window, k: int, m: int) -> DataFrame:
+    """(sample, slot, cnt) straight from reads: what `to_slots` gives of all k-mer counts.
+
+    A slot's count is how often its k-mers occur, so k-mers are hashed where a
+    read lies and added up by slot there; no k-mer is shuffled. A task passes
+    on a row for each sample and slot at most.
+    """
+    from .partitioning import window_minimizers
+
+    dna.check_m(m, dna.check_k(k))
+    parts, size, slots = window.partitions, window.window, window.slots
+
+    def run(batches):
+        for b in batches:
+            samples = b.column(0).dictionary_encode(null_encoding="encode")
+            number = samples.indices.to_numpy().astype(np.int64)
+            for rows, words, digits, whole in _batches.kmers(b.column(1), k):
+                part = hashing.xxh64_u32(window_minimizers(digits, k, m)[whole]) % np.uint64(parts)
+                slot = hashing.xxh64_words(words) % np.uint64(size) + part * np.uint64(size)
+                key, n = _batches.tally(number[rows] * slots + slot.astype(np.int64), len(samples.dictionary) * slots)
+                yield pa.RecordBatch.from_arrays([samples.dictionary.take(pa.array(key // slots)), pa.array(key % slots), pa.array(n)], ["sample", "slot", "cnt"])
+
+    schema = StructType([reads.schema["sample"], StructField("slot", LongType()), StructField("cnt", LongType())])
+    return reads.select("sample", F.upper("seq").alias("seq")).mapInArrow(run, schema).groupBy("sample", "slot").agg(F.sum("cnt").alias("cnt"))
+
+
 def to_slots(counts: DataFrame, window, k: int, m: int) -> DataFrame:
     """(sample, slot, cnt): k-mer counts summed up by hash slot; k-mers of a slot merge."""
     from .partitioning import with_partition

@@ -76,11 +76,10 @@ class Options:
 
 def count(reads: DataFrame, sheet: DataFrame, o: Options) -> tuple[DataFrame, DataFrame]:
     """(all counts, counts at the hard minimum), by k-mer or slot, with the partition."""
-    every = counting.count_kmers(reads, o.k)
     if o.mode.startswith("hash"):
-        every = counting.to_slots(every, o.window, o.k, o.m).withColumn("part", o.window.partition_of(F.col("slot")))
+        every = counting.count_slots(reads, o.window, o.k, o.m).withColumn("part", o.window.partition_of(F.col("slot")))
     else:
-        every = partitioning.with_partition(every, o.k, o.m, o.partitions)
+        every = partitioning.with_partition(counting.count_kmers(reads, o.k), o.k, o.m, o.partitions)
     if o.restrict_to:
         every = partitioning.restrict(every, o.restrict_to, o.partitions)
     return every, at_minimum(every, sheet, o)

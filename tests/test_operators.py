@@ -44,6 +44,29 @@ def test_counts(spark, k):
     assert {r[0]: tuple(r[1:]) for r in fused} == {x: c for x, c in want.items() if any(c)}
 
 
+@pytest.mark.parametrize("k, m, slots", [(8, 4, 100), (21, 8, 40_000), (31, 10, 5_000_000), (32, 8, 1000), (33, 9, 1000), (65, 15, 1000), (96, 8, 1000)])
+def test_slots_of_reads_are_those_of_counts(spark, k, m, slots):
+    from kmerloom.functions.hashing import HashWindow
+
+    df, w = reads(spark, [*some_reads(), (None, "ACGTTGCA" * 20)]), HashWindow(slots, 4)
+    pairs = lambda c: Counter({(r["sample"], r["slot"]): r["cnt"] for r in c.collect()})
+    direct = counting.count_slots(df, w, k, m)
+    assert pairs(direct) == pairs(counting.to_slots(counting.count_kmers(df, k), w, k, m)) and direct.count()
+    assert "kmer" not in direct._jdf.queryExecution().executedPlan().toString()  # no k-mer is shuffled
+
+
+def test_blocks_of_reads():
+    import pyarrow as pa
+
+    from kmerloom.operators import _batches
+
+    seqs = [q for _, q in some_reads(20, 3)]
+    for k in (8, 21, 40):
+        whole = [(r, *(int(w[i]) for w in words)) for rows, words, _, _ in _batches.kmers(pa.array(seqs), k) for i, r in enumerate(rows)]
+        assert whole == [(r, *(int(w[i]) for w in words)) for rows, words, _, _ in _batches.kmers(pa.array(seqs), k, 7) for i, r in enumerate(rows)]
+        assert Counter(r for r, *_ in whole) == {i: n for i, q in enumerate(seqs) if (n := sum(slow_counts([("a", q)], k).values()))}
+
+
 def matrix(spark, rows):
     return spark.createDataFrame([(x, list(c)) for x, c in rows.items()], "kmer string, counts array<bigint>")
 

@@ -8,6 +8,8 @@ any length explode into k-mers at a cost in proportion to their length.
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,6 +60,16 @@ def code(d: Column) -> Column:
     return F.conv(d.cast("string"), 4, 10).cast("bigint")
 
 
+def code_digits(number: Column, k: int) -> Column:
+    """The digit string of a number, k up to 31: four bases at a time out of a table."""
+    pieces = []
+    for end in range(k, 0, -4):
+        width = min(4, end)
+        table = ",".join("".join(x) for x in product("0123", repeat=width))
+        pieces.append(F.get(F.split(F.lit(table), ","), F.shiftrightunsigned(number, 2 * (k - end)).bitwiseAND(F.lit(4**width - 1)).cast("int")))
+    return F.concat(*reversed(pieces))
+
+
 def decode(number: Column, k: int) -> Column:
     return letters(F.lpad(F.conv(number.cast("string"), 10, 4), k, "0"))
 

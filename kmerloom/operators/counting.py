@@ -2,8 +2,8 @@
 
 reads: (sample, seq). Counts are in the long form (sample, kmer, cnt), kmer
 being digits in the order A < C < T < G. Exploding, canonical form and partial
-counts run in one generated stage ahead of the only shuffle, so a k-mer that
-fills a third of all reads leaves each task as one row.
+counts run ahead of the only shuffle, so a k-mer that fills a third of all
+reads leaves each task as one row.
 """
 
 from __future__ import annotations
@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import dna, hashing
-from . import _batches
+from . import _batches, _bins
 
 #: Counts saturate here unless a call says otherwise.
 MAX_COUNT = 4_294_967_295
 HISTOGRAM = (1, 255)
+#: The longest k-mers that are counted as numbers.
+MOST_CODE = 31
 
 
 def explode_kmers(reads: DataFrame, k: int, *keep: str) -> DataFrame:
@@ -36,8 +38,11 @@ def explode_kmers(reads: DataFrame, k: int, *keep: str) -> DataFrame:
 
 
 def count_kmers(reads: DataFrame, k: int) -> DataFrame:
-    """(sample, kmer, cnt), every k-mer."""
-    return explode_kmers(reads, k, "sample").groupBy("sample", "kmer").agg(F.count("*").alias("cnt"))
+    """(sample, kmer, cnt), every k-mer. Up to MOST_CODE bases they are counted as numbers, in bins (`_bins`)."""
+    dna.check_k(k)
+    if k > MOST_CODE:
+        return explode_kmers(reads, k, "sample").groupBy("sample", "kmer").agg(F.count("*").alias("cnt"))
+    return _bins.count(reads, k).select("sample", dna.code_digits(F.col("code"), k).alias("kmer"), "cnt")
 
 
 def saturate(counts: DataFrame, max_count: int = MAX_COUNT) -> DataFrame:
@@ -72,6 +77,13 @@ def histogram_totals(counts: DataFrame, bounds: tuple[int, int] = HISTOGRAM) ->
     )
 
 
+def distinct_codes(reads: DataFrame, k: int) -> DataFrame:
+    """(code): the distinct canonical k-mers of all samples as numbers, k up to MOST_CODE."""
+    if not dna.MIN_K <= k <= MOST_CODE:
+        raise ValueError(f"k must be from {dna.MIN_K} to {MOST_CODE} for numbers, not {k}")
+    return _bins.count(reads.select(F.lit("").alias("sample"), "seq"), k).select("code")
+
+
 def count_slots(reads: DataFrame, window, k: int, m: int) -> DataFrame:
     """(sample, slot, cnt) straight from reads: what `to_slots` gives of all k-mer counts.
 

@@ -16,6 +16,8 @@ LONGEST = 255
 BLOCK = 1 << 20
 #: The code of characters other than A, C, T, G.
 OTHER = 4
+#: As many m-mers are counted in one array.
+MMERS = 1 << 20
 
 
 def with_minimizer(kmers: DataFrame, k: int, m: int) -> DataFrame:
@@ -28,6 +30,35 @@ def with_minimizer(kmers: DataFrame, k: int, m: int) -> DataFrame:
     return strands.select(*own, dna.minimizer_of_codes(F.col("strands_.forward"), F.col("strands_.backward"), k, m).alias("minimizer"))
 
 
+def count_mmers(codes: DataFrame, k: int, m: int) -> DataFrame:
+    """(mmer, n): how often each canonical m-mer occurs in k-mers, both as numbers (code; k up to 31).
+
+    A task adds up its m-mers before it passes them on: all of them together
+    where m is small, else those of a batch.
+    """
+    dna.check_m(m, k)
+    size, whole = 4**m, (1 << 2 * m) - 1
+
+    def run(batches):
+        held = np.zeros(size, np.int64) if size <= MMERS else None
+        for b in batches:
+            ahead = b.column(0).to_numpy(zero_copy_only=False)
+            back = np.zeros_like(ahead)
+            for j in range(k):
+                back = back << 2 | (ahead >> 2 * j & 3 ^ 2)
+            found = np.concatenate([np.minimum(ahead >> 2 * (k - m - j) & whole, back >> 2 * j & whole) for j in range(k - m + 1)])
+            if held is None:
+                x, n = np.unique(found, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(n)], ["mmer", "n"])
+            else:
+                held += np.bincount(found, minlength=size)
+        if held is not None:
+            x = np.flatnonzero(held)
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(held[x])], ["mmer", "n"])
+
+    return codes.select("code").mapInArrow(run, "mmer bigint, n bigint").groupBy("mmer").agg(F.sum("n").alias("n"))
+
+
 def with_partition(kmers: DataFrame, k: int, m: int, n_partitions: int) -> DataFrame:
     """Adds part, the static partition of the k-mer's minimizer."""
     return with_minimizer(kmers, k, m).withColumn("part", hashing.minimizer_partition(F.col("minimizer"), n_partitions)).drop("minimizer")

@@ -67,6 +67,34 @@ def test_blocks_of_reads():
         assert Counter(r for r, *_ in whole) == {i: n for i, q in enumerate(seqs) if (n := sum(slow_counts([("a", q)], k).values()))}
 
 
+def test_kmers_are_dealt_in_bins(spark):
+    """One shuffle of few rows, whatever the batches that bins and reads come in; a null sample is one of its own."""
+    from kmerloom.operators import _bins
+
+    rows = [*some_reads(), *((x, "ACGT" * 50) for x in (*ABC, None))]
+    df = reads(spark, rows).repartition(3)
+    want = {(s, x.translate(str.maketrans("ACTG", "0123"))): n for (s, x), n in slow_counts(rows, 11).items()}
+    for size in ("1", "3", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        got = counting.count_kmers(df, 11).collect()
+        assert {(r["sample"], r["kmer"]): r["cnt"] for r in got} == want and len(got) == len(want)
+        found = [r["code"] for r in counting.distinct_codes(df, 11).collect()]
+        assert len(found) == len(set(found)) == len({x for _, x in want})
+        m = {r["kmer"]: tuple(r["counts"]) for r in merging.count_matrix(df, ["c", "a"], 11, 2).collect()}
+        two = {x: tuple(n if (n := want.get((s, x), 0)) > 1 else 0 for s in "ca") for _, x in want}
+        assert m == {x: c for x, c in two.items() if any(c)}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert _bins.deal(df, 11).count() < sum(want.values())
+    assert not counting.count_kmers(df.where("false"), 11).count()
+
+
+@pytest.mark.parametrize("k, m", [(8, 4), (21, 8), (31, 11), (31, 15)])
+def test_mmers_of_kmers(spark, k, m):
+    want = Counter(canonical(x[j : j + m]) for x in {x for _, x in slow_counts(some_reads(), k)} for j in range(k - m + 1))
+    got = partitioning.count_mmers(counting.distinct_codes(reads(spark, some_reads()), k), k, m).collect()
+    assert {r["mmer"]: r["n"] for r in got} == {int(x.translate(str.maketrans("ACTG", "0123")), 4): n for x, n in want.items()} and len(got) == len(want)
+
+
 def matrix(spark, rows):
     return spark.createDataFrame([(x, list(c)) for x, c in rows.items()], "kmer string, counts array<bigint>")
 

@@ -75,8 +75,8 @@ def decode(number: Column, k: int) -> Column:
 
 
 def clean(text: Column) -> Column:
-    """The A, C, G, T of a text in upper case, all else left out."""
-    return F.regexp_replace(F.upper(text), "[^ACGT]+", "")
+    """The A, C, G, T of a text in upper case, all else left out: letters whose upper case is two, of which one is a base, too."""
+    return F.upper(F.regexp_replace(text, "[^ACGTacgt]+", ""))
 
 
 def segments(seq: Column) -> Column:

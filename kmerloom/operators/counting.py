@@ -22,6 +22,8 @@ MAX_COUNT = 4_294_967_295
 HISTOGRAM = (1, 255)
 #: The longest k-mers that are counted as numbers.
 MOST_CODE = 31
+#: Slots of all samples that a task adds up in one array.
+HELD = 1 << 22
 
 
 def explode_kmers(reads: DataFrame, k: int, *keep: str) -> DataFrame:
@@ -84,30 +86,50 @@ def distinct_codes(reads: DataFrame, k: int) -> DataFrame:
     return _bins.count(reads.select(F.lit("").alias("sample"), "seq"), k).select("code")
 
 
-def count_slots(reads: DataFrame, window, k: int, m: int) -> DataFrame:
-    """(sample, slot, cnt) straight from reads: what `to_slots` gives of all k-mer counts.
+def task_slots(reads: DataFrame, window, k: int, m: int) -> DataFrame:
+    """(sample, slot, cnt) of what each task reads.
 
     A slot's count is how often its k-mers occur, so k-mers are hashed where a
     read lies and added up by slot there; no k-mer is shuffled. A task passes
-    on a row for each sample and slot at most.
+    on a row for each sample and slot: at its end, while those of its samples
+    are HELD at most, else after every block.
     """
     from .partitioning import window_minimizers
 
     dna.check_m(m, dna.check_k(k))
-    parts, size, slots = window.partitions, window.window, window.slots
+    parts, size, slots, most = window.partitions, window.window, window.slots, HELD
 
     def run(batches):
+        number: dict = {}  # of each sample that the task has met
+        held = np.zeros(0, np.int64)
+
+        def told(key, n):
+            return pa.RecordBatch.from_arrays([pa.array(list(number), kind).take(pa.array(key // slots)), pa.array(key % slots), pa.array(n)], ["sample", "slot", "cnt"])
+
         for b in batches:
             samples = b.column(0).dictionary_encode(null_encoding="encode")
-            number = samples.indices.to_numpy().astype(np.int64)
+            kind = samples.dictionary.type
+            of = np.array([number.setdefault(x, len(number)) for x in samples.dictionary.to_pylist()], np.int64)[samples.indices.to_numpy()]
             for rows, words, digits, whole in _batches.kmers(b.column(1), k):
                 part = hashing.xxh64_u32(window_minimizers(digits, k, m)[whole]) % np.uint64(parts)
                 slot = hashing.xxh64_words(words) % np.uint64(size) + part * np.uint64(size)
-                key, n = _batches.tally(number[rows] * slots + slot.astype(np.int64), len(samples.dictionary) * slots)
-                yield pa.RecordBatch.from_arrays([samples.dictionary.take(pa.array(key // slots)), pa.array(key % slots), pa.array(n)], ["sample", "slot", "cnt"])
+                key, n = _batches.tally(of[rows] * slots + slot.astype(np.int64), len(number) * slots)
+                if len(number) * slots <= most:
+                    held = np.pad(held, (0, len(number) * slots - len(held)))
+                    held[key] += n
+                else:
+                    yield told(key, n)
+        key = np.flatnonzero(held)
+        for at in range(0, len(key), _batches.BLOCK):
+            yield told(key[at : at + _batches.BLOCK], held[key[at : at + _batches.BLOCK]])
 
     schema = StructType([reads.schema["sample"], StructField("slot", LongType()), StructField("cnt", LongType())])
-    return reads.select("sample", F.upper("seq").alias("seq")).mapInArrow(run, schema).groupBy("sample", "slot").agg(F.sum("cnt").alias("cnt"))
+    return reads.select("sample", "seq").mapInArrow(run, schema)
+
+
+def count_slots(reads: DataFrame, window, k: int, m: int) -> DataFrame:
+    """(sample, slot, cnt) straight from reads: what `to_slots` gives of all k-mer counts."""
+    return task_slots(reads, window, k, m).groupBy("sample", "slot").agg(F.sum("cnt").alias("cnt"))
 
 
 def to_slots(counts: DataFrame, window, k: int, m: int) -> DataFrame:

@@ -110,3 +110,8 @@ def test_every_valid_minimizer_has_no_inner_aa(spark):
     rows = ["".join(x) for x in itertools.product("0123", repeat=5)]
     got = spark.createDataFrame([(r,) for r in rows], "s string").select("s", dna.valid_minimizer(F.col("s")).alias("v")).collect()
     assert all(v == ("00" not in s[1:]) for s, v in got)
+
+
+def test_clean(spark):
+    """Only A, C, G, T and a, c, g, t are bases, as in SQL: not the two capitals that some letters have."""
+    assert one(spark, "xACg\u1e97t\u1e9aN\ufb05\ufb06\u0131\u017f-a", seq=dna.clean(F.col("s")))["seq"] == "ACGTA"

@@ -55,6 +55,25 @@ def test_slots_of_reads_are_those_of_counts(spark, k, m, slots):
     assert "kmer" not in direct._jdf.queryExecution().executedPlan().toString()  # no k-mer is shuffled
 
 
+def test_a_task_passes_on_a_slot_once(spark, monkeypatch):
+    """Whatever the batches that its reads come in; slots of too many samples to be held are as many as blocks give."""
+    from kmerloom.functions.hashing import HashWindow
+
+    df, w, size = reads(spark, [*some_reads(), (None, "ACGTTGCA" * 20)]).coalesce(1), HashWindow(1000, 4), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(size, "7")
+    try:
+        held = counting.task_slots(df, w, 21, 8).collect()
+        monkeypatch.setattr(counting, "HELD", 2 * w.slots)
+        some = counting.task_slots(df, w, 21, 8).collect()
+    finally:
+        spark.conf.unset(size)
+    assert len(held) == len({(r["sample"], r["slot"]) for r in held}) < len(some)
+    total = Counter()
+    for r in some:
+        total[r["sample"], r["slot"]] += r["cnt"]
+    assert {(r["sample"], r["slot"]): r["cnt"] for r in held} == total
+
+
 def test_blocks_of_reads():
     import pyarrow as pa
 

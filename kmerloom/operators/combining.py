@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .merging import WIDE
+
 
 @dataclass
 class Run:
@@ -41,15 +43,21 @@ def combine(runs: list[Run]) -> Run:
     """One matrix over all runs, columns in run order; keys of any run are kept, absent cells are 0.
 
     One aggregation by key over the union of all runs, each row padded to the
-    full width; never a join for each run.
+    full width; never a join for each run. Up to WIDE columns are aggregated as
+    numbers, by hash; as arrays they would be sorted by key, twice.
     """
     first = runs[0]
     if any((r.k, r.m, r.partitions, r.key) != (first.k, first.m, first.partitions, first.key) for r in runs):
         raise ValueError("runs must agree in k, minimizer size, partitions and key")
     parts = [r.matrix.select(first.key, F.lit(i).alias("run"), "counts") for i, r in enumerate(runs)]
     union = reduce(DataFrame.unionByName, parts)
-    held = [F.coalesce(F.first(F.when(F.col("run") == i, F.col("counts")), ignorenulls=True), F.array_repeat(F.lit(0).cast("bigint"), len(r.samples))) for i, r in enumerate(runs)]
-    matrix = union.groupBy(first.key).agg(F.concat(*held).alias("counts"))
+    of = lambda i, x: F.when(F.col("run") == i, x)
+    zero = F.lit(0).cast("bigint")
+    if sum(len(r.samples) for r in runs) <= WIDE:
+        counts = F.array(*(F.coalesce(F.max(of(i, F.get("counts", F.lit(j)))), zero) for i, r in enumerate(runs) for j in range(len(r.samples))))
+    else:
+        counts = F.concat(*(F.coalesce(F.first(of(i, F.col("counts")), ignorenulls=True), F.array_repeat(zero, len(r.samples))) for i, r in enumerate(runs)))
+    matrix = union.groupBy(first.key).agg(counts.alias("counts"))
     return Run(matrix, sample_names(runs), first.k, first.m, first.partitions, first.key)
 
 

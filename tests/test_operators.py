@@ -81,6 +81,14 @@ def test_keys_of_other_samples(spark, n):
     assert rows(False) == {1: [5, 6, *[0] * (n - 2)]} and rows(True) == rows(False) | {2: [0] * n, 3: [0] * n}
 
 
+def test_runs_are_combined_by_hash(spark):
+    run = lambda samples, rows: combining.Run(spark.createDataFrame(rows, "kmer string, counts array<long>"), samples, 21, 8, 4)
+    for n in (1, 70):
+        m = combining.combine([run(["a", *(f"x{i}" for i in range(n - 1))], [("0", [1] * n), ("1", [2] * n)]), run(["b"], [("1", [3]), ("2", [4])])]).matrix
+        assert {r[0]: r[1] for r in m.collect()} == {"0": [1] * n + [0], "1": [2] * n + [3], "2": [0] * n + [4]}
+        assert ("SortAggregate" in m._jdf.queryExecution().executedPlan().toString()) == (n > 64)
+
+
 def test_blocks_of_reads():
     import pyarrow as pa
 

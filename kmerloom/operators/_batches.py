@@ -9,28 +9,34 @@ import pyarrow as pa
 OTHER = 4
 #: K-mers looked at together.
 BLOCK = 1 << 20
+#: As many of them have all their numbers in a core's own cache.
+CACHED = 1 << 15
 
 DIGIT = np.full(256, OTHER, np.uint8)
 for _c, _d in zip("ACTGactg", (0, 1, 2, 3) * 2, strict=True):
     DIGIT[ord(_c)] = _d
+#: Every other character.
+NO_BASE = bytes(np.flatnonzero(DIGIT == OTHER).astype(np.uint8))
 
 
-def joined(seqs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(digits, first): the digits of all sequences, one OTHER between two, and where each begins."""
+def joined(seqs: pa.Array, clean: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(digits, first): the digits of all sequences, one OTHER between two, and where each begins. clean: of what `dna.clean` leaves of them."""
     texts = [t or b"" for t in seqs.cast(pa.binary()).to_pylist()]
+    if clean:
+        texts = [t.translate(None, NO_BASE) for t in texts]
     first = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])[:-1]
     return DIGIT[np.frombuffer(b"-".join(texts), np.uint8)], first
 
 
-def rolling(d: np.ndarray, width: int, backward: bool = False) -> np.ndarray:
-    """Numbers of every `width` neighbouring digits (up to 32), the first most significant, or least if backward; by doubling."""
+def rolling(d: np.ndarray, width: int, backward: bool = False, kind=np.uint64) -> np.ndarray:
+    """Numbers of every `width` neighbouring digits (up to 32, half as many as the kind has bits), the first most significant, or least if backward; by doubling."""
 
     def join(a, size, b, more):
         n = len(d) - size - more + 1
         a, b = a[:n], b[size : size + n]
-        return a | b << np.uint64(2 * size) if backward else a << np.uint64(2 * more) | b
+        return a | b << kind(2 * size) if backward else a << kind(2 * more) | b
 
-    out, have, power, size = None, 0, d.astype(np.uint64), 1
+    out, have, power, size = None, 0, d.astype(kind), 1
     while size <= width:
         if width & size:
             out, have = (power, size) if out is None else (join(power, size, out, have), size + have)
@@ -58,12 +64,13 @@ def canonical_words(codes: np.ndarray, k: int) -> list[np.ndarray]:
     return [np.where(less, a, b) for a, b in zip(ahead, back, strict=True)]
 
 
-def kmers(seqs: pa.Array, k: int, block: int = BLOCK):
+def kmers(seqs: pa.Array, k: int, block: int = BLOCK, clean: bool = False):
     """(rows, words, digits, whole), some k-mers at a time: the row and canonical words of every k-mer of A, C, G, T.
 
     digits are those of the block, whole says at which of its places a k-mer is.
+    clean: other characters are left out, and end no run.
     """
-    codes, first = joined(seqs)
+    codes, first = joined(seqs, clean)
     last = len(codes) - k + 1
     for at in range(0, last, block):
         d = codes[at : at + block + k - 1]
@@ -77,6 +84,19 @@ def kmers(seqs: pa.Array, k: int, block: int = BLOCK):
             yield rows, [w[whole] for w in canonical_words(d, k)], d, whole
 
 
+def gathered(parts, least: int = BLOCK):
+    """The same numbers in fewer arrays, of as many numbers at least but for the last."""
+    held, n = [], 0
+    for x in parts:
+        held.append(x)
+        n += len(x)
+        if n >= least:
+            yield np.concatenate(held)
+            held, n = [], 0
+    if n:
+        yield np.concatenate(held)
+
+
 def tally(keys: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray]:
     """(distinct keys, how often) of numbers below a bound."""
     if bound <= 4 * len(keys):

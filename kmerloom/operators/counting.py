@@ -24,6 +24,8 @@ HISTOGRAM = (1, 255)
 MOST_CODE = 31
 #: Slots of all samples that a task adds up in one array.
 HELD = 1 << 22
+#: Minimizers of which a task lists every one's partition.
+TABLED = 1 << 20
 
 
 def explode_kmers(reads: DataFrame, k: int, *keep: str) -> DataFrame:
@@ -86,22 +88,29 @@ def distinct_codes(reads: DataFrame, k: int) -> DataFrame:
     return _bins.count(reads.select(F.lit("").alias("sample"), "seq"), k).select("code")
 
 
-def task_slots(reads: DataFrame, window, k: int, m: int) -> DataFrame:
+def task_slots(reads: DataFrame, window, k: int, m: int, clean: bool = False) -> DataFrame:
     """(sample, slot, cnt) of what each task reads.
 
     A slot's count is how often its k-mers occur, so k-mers are hashed where a
     read lies and added up by slot there; no k-mer is shuffled. A task passes
     on a row for each sample and slot: at its end, while those of its samples
-    are HELD at most, else after every block.
+    are HELD at most, else after every block. clean: sequences are texts, and
+    k-mers are those of what `dna.clean` leaves of them; that is done by bytes
+    here, as an expression it takes longer than all else.
     """
-    from .partitioning import window_minimizers
+    from .partitioning import rolling_minimizers
 
     dna.check_m(m, dna.check_k(k))
     parts, size, slots, most = window.partitions, window.window, window.slots, HELD
 
+    def lower(minimizers):
+        """The first slots of their partitions."""
+        return hashing.xxh64_u32(minimizers) % np.uint64(parts) * np.uint64(size)
+
     def run(batches):
         number: dict = {}  # of each sample that the task has met
         held = np.zeros(0, np.int64)
+        first = lower(np.arange(4**m)) if 4**m <= TABLED else None  # of every minimizer there is
 
         def told(key, n):
             return pa.RecordBatch.from_arrays([pa.array(list(number), kind).take(pa.array(key // slots)), pa.array(key % slots), pa.array(n)], ["sample", "slot", "cnt"])
@@ -110,10 +119,15 @@ def task_slots(reads: DataFrame, window, k: int, m: int) -> DataFrame:
             samples = b.column(0).dictionary_encode(null_encoding="encode")
             kind = samples.dictionary.type
             of = np.array([number.setdefault(x, len(number)) for x in samples.dictionary.to_pylist()], np.int64)[samples.indices.to_numpy()]
-            for rows, words, digits, whole in _batches.kmers(b.column(1), k):
-                part = hashing.xxh64_u32(window_minimizers(digits, k, m)[whole]) % np.uint64(parts)
-                slot = hashing.xxh64_words(words) % np.uint64(size) + part * np.uint64(size)
-                key, n = _batches.tally(of[rows] * slots + slot.astype(np.int64), len(number) * slots)
+
+            def keys():
+                for rows, words, digits, whole in _batches.kmers(b.column(1), k, _batches.CACHED, clean):  # noqa: B023
+                    x = rolling_minimizers(digits, k, m)[whole]
+                    slot = hashing.xxh64_words(words) % np.uint64(size) + (lower(x) if first is None else first[x])
+                    yield of[rows] * slots + slot.astype(np.int64)  # noqa: B023
+
+            for some in _batches.gathered(keys()):
+                key, n = _batches.tally(some, len(number) * slots)
                 if len(number) * slots <= most:
                     held = np.pad(held, (0, len(number) * slots - len(held)))
                     held[key] += n
@@ -127,9 +141,9 @@ def task_slots(reads: DataFrame, window, k: int, m: int) -> DataFrame:
     return reads.select("sample", "seq").mapInArrow(run, schema)
 
 
-def count_slots(reads: DataFrame, window, k: int, m: int) -> DataFrame:
-    """(sample, slot, cnt) straight from reads: what `to_slots` gives of all k-mer counts."""
-    return task_slots(reads, window, k, m).groupBy("sample", "slot").agg(F.sum("cnt").alias("cnt"))
+def count_slots(reads: DataFrame, window, k: int, m: int, clean: bool = False) -> DataFrame:
+    """(sample, slot, cnt) straight from reads, or texts (clean): what `to_slots` gives of all k-mer counts."""
+    return task_slots(reads, window, k, m, clean).groupBy("sample", "slot").agg(F.sum("cnt").alias("cnt"))
 
 
 def to_slots(counts: DataFrame, window, k: int, m: int) -> DataFrame:

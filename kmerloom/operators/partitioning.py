@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import dna, hashing
+from ._batches import rolling
 
 #: The most k-mers of a super-k-mer.
 LONGEST = 255
@@ -89,26 +90,25 @@ def restrict_fraction(fraction: float, n_partitions: int, seed: int = 0) -> list
     return sorted(random.Random(seed).sample(range(n_partitions), max(1, int(n_partitions * fraction))))
 
 
-def window_minimizers(codes: np.ndarray, k: int, m: int) -> np.ndarray:
-    """Minimizers, as numbers, of every k-mer of a sequence of digits; -1 for those that hold another character (4)."""
-    n = len(codes) - m + 1
-    forward, backward = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    for j in range(m):
-        d = codes[j : j + n].astype(np.int64)
-        forward = forward << 2 | d & 3
-        backward |= (d & 3 ^ 2) << 2 * j
-    x = np.minimum(forward, backward)
-    pairs = sum(1 << 2 * p for p in range(m - 2))  # one bit for each two neighbouring bases behind the first
+def rolling_minimizers(codes: np.ndarray, k: int, m: int) -> np.ndarray:
+    """Minimizers, as 32-bit numbers, of every k-mer of a sequence of digits; of no meaning where one holds another character (4)."""
+    d = codes & 3
+    x = np.minimum(rolling(d, m, kind=np.uint32), rolling(d ^ 2, m, True, np.uint32))
+    pairs = np.uint32(sum(1 << 2 * p for p in range(m - 2)))  # one bit for each two neighbouring bases behind the first
     other = x | x >> 1
-    x = np.where((other | other >> 2) & pairs == pairs, x, (1 << 2 * m) - 1)
+    x[(other | other >> 2) & pairs != pairs] = (1 << 2 * m) - 1
     width, whole = 1, k - m + 1
     while 2 * width <= whole:
         x = np.minimum(x[:-width], x[width:])
         width *= 2
     n = len(codes) - k + 1
-    x = np.minimum(x[:n], x[whole - width : whole - width + n])
+    return np.minimum(x[:n], x[whole - width : whole - width + n])
+
+
+def window_minimizers(codes: np.ndarray, k: int, m: int) -> np.ndarray:
+    """Minimizers, as numbers, of every k-mer of a sequence of digits; -1 for those that hold another character (4)."""
     wrong = np.concatenate([[0], np.cumsum(codes == OTHER)])
-    return np.where(wrong[k:] == wrong[:-k], x, -1)
+    return np.where(wrong[k:] == wrong[:-k], rolling_minimizers(codes, k, m).astype(np.int64), -1)
 
 
 def minimizer_runs(codes: np.ndarray, k: int, m: int, longest: int = LONGEST, block: int = BLOCK):

@@ -55,6 +55,40 @@ def test_slots_of_reads_are_those_of_counts(spark, k, m, slots):
     assert "kmer" not in direct._jdf.queryExecution().executedPlan().toString()  # no k-mer is shuffled
 
 
+def test_slots_of_texts(spark):
+    """Cut to bases by bytes, with what `dna.clean` leaves of them; m = 15 has more minimizers than a task lists."""
+    from kmerloom.functions.hashing import HashWindow
+
+    texts = ["An Act, Catching gates\u2026 TAG-TAG\u00e9tat\u0000ga\n" * 20, "ACGT\u1e97TTGC\u1e9aACG\ufb05TGAC\ufb06catgactga" * 9, "--NN--\u00ff" * 5, "", None, "acgt", "t" * 40, "-" + "aCgT" * 30 + "-"]
+    df, w = reads(spark, [(s, t) for t in texts for s in ("A", None)]), HashWindow(1000, 4)
+    pairs = lambda c: Counter({(r["sample"], r["slot"]): r["cnt"] for r in c.collect()})
+    for k, m in ((21, 8), (31, 15), (40, 10)):
+        got = pairs(counting.count_slots(df, w, k, m, clean=True))
+        assert got == pairs(counting.count_slots(df.select("sample", dna.clean(F.col("seq")).alias("seq")), w, k, m)) and got
+        assert got != pairs(counting.count_slots(df, w, k, m))  # where other characters end a run
+
+
+def test_minimizers_of_a_sequence():
+    import numpy as np
+
+    from kmerloom.operators import _batches
+
+    r = random.Random(4)
+    d = np.array([r.choice([0, 0, 1, 2, 3]) for _ in range(400)] + [4] + [0] * 30 + [1, 2, 3] * 20, np.uint8)
+    for k, m in ((8, 4), (21, 8), (21, 10), (33, 15), (15, 15)):
+        number = lambda x: int("".join(map(str, x)), 4)
+
+        def worth(x, m=m, number=number):
+            x = min(number(x), number([c ^ 2 for c in reversed(x)]))
+            text = np.base_repr(x, 4).zfill(m)
+            return 4**m - 1 if "00" in text[1:] else x
+
+        want = [-1 if 4 in q else min(worth(q[j : j + m]) for j in range(k - m + 1)) for q in (d[i : i + k].tolist() for i in range(len(d) - k + 1))]
+        assert partitioning.window_minimizers(d, k, m).tolist() == want
+    some = [np.arange(n) for n in (3, 0, 5, 4, 1)]
+    assert [x.tolist() for x in _batches.gathered(some, 8)] == [[0, 1, 2, 0, 1, 2, 3, 4], [0, 1, 2, 3, 0]] and not list(_batches.gathered([]))
+
+
 def test_a_task_passes_on_a_slot_once(spark, monkeypatch):
     """Whatever the batches that its reads come in; slots of too many samples to be held are as many as blocks give."""
     from kmerloom.functions.hashing import HashWindow
